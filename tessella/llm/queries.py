@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tessella.llm import mixing, shuffle
+from tessella.llm import licenses, mixing, quality_rules, shuffle
 
 QUERIES = {
+    "op4_risk_controlled_rules": quality_rules.op4_risk_controlled_rules,
     "op5_feistel_shards": shuffle.op5_feistel_shards,
     "op8_hash_threshold_mix": mixing.op8_hash_threshold_mix,
+    "op9_dice_licenses": licenses.op9_dice_licenses,
 }
 SQL = {
     "op5_feistel_shards": shuffle.op5_sql(),
     "op8_hash_threshold_mix": mixing.OP8_SQL,
+    "op9_dice_licenses": licenses.op9_sql(),
 }

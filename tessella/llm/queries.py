@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tessella.llm import licenses, mixing, quality_rules, shuffle
+from tessella.llm import compression, licenses, mixing, quality_rules, shuffle, toxicity
 
 QUERIES = {
+    "op2_compression_quality": compression.op2_compression_quality,
     "op4_risk_controlled_rules": quality_rules.op4_risk_controlled_rules,
     "op5_feistel_shards": shuffle.op5_feistel_shards,
+    "op6_deobfuscated_toxicity": toxicity.op6_deobfuscated_toxicity,
     "op8_hash_threshold_mix": mixing.op8_hash_threshold_mix,
     "op9_dice_licenses": licenses.op9_dice_licenses,
 }

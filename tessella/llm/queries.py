@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import compression, licenses, mixing, quality_rules, shuffle, toxicity
+from tessella.llm import compression, licenses, mixing, near_dedup, quality_rules, shuffle, toxicity
 
 QUERIES = {
     "op2_compression_quality": compression.op2_compression_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_deobfuscated_toxicity": toxicity.op6_deobfuscated_toxicity,
     "op8_hash_threshold_mix": mixing.op8_hash_threshold_mix,
     "op9_dice_licenses": licenses.op9_dice_licenses,
+    "op10_sketch_near_duplicates": near_dedup.op10_sketch_near_duplicates,
 }
 SQL = {
     "op5_feistel_shards": shuffle.op5_sql(),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.llm import compression, licenses, mixing, near_dedup, quality_rules, shuffle, toxicity
+from tessella.llm import compression, katz, licenses, mixing, near_dedup, quality_rules, shuffle, toxicity
 
 QUERIES = {
+    "op1_katz_scores": katz.op1_katz_scores,
     "op2_compression_quality": compression.op2_compression_quality,
     "op4_risk_controlled_rules": quality_rules.op4_risk_controlled_rules,
     "op5_feistel_shards": shuffle.op5_feistel_shards,

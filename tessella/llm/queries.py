@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessella.llm import compression, katz, licenses, mixing, near_dedup, quality_rules, shuffle, toxicity
+from tessella.llm import compression, katz, licenses, mixing, near_dedup, quality_rules, shuffle, suffixes, toxicity
 
 QUERIES = {
     "op1_katz_scores": katz.op1_katz_scores,
     "op2_compression_quality": compression.op2_compression_quality,
+    "op3_deep_shallow_repeats": suffixes.op3_deep_shallow_repeats,
     "op4_risk_controlled_rules": quality_rules.op4_risk_controlled_rules,
     "op5_feistel_shards": shuffle.op5_feistel_shards,
     "op6_deobfuscated_toxicity": toxicity.op6_deobfuscated_toxicity,

@@ -156,5 +156,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) -> Data
     return member.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"), (F.col("doc_id") == F.coalesce("component", "node")).alias("kept"))
 
 
+def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """Rows of ``docs`` without near duplicates of another: of each component the document of the least doc_id, once.
+
+    Rows with an id that isn't kept go; of rows that repeat a kept id, the first by the hash of all columns stays.
+    Rows with a null doc_id and rows without words are linked with nothing and stay.
+    """
+    gone = near_duplicates(docs, width, least).where(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+
+
 def op10_sketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)

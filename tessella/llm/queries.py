@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import compression, katz, licenses, mixing, near_dedup, quality_rules, shuffle, suffixes, toxicity
+from tessella.llm import compression, decontaminate, katz, licenses, mixing, near_dedup, quality_rules, shuffle, suffixes, toxicity
 
 QUERIES = {
     "op1_katz_scores": katz.op1_katz_scores,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_risk_controlled_rules": quality_rules.op4_risk_controlled_rules,
     "op5_feistel_shards": shuffle.op5_feistel_shards,
     "op6_deobfuscated_toxicity": toxicity.op6_deobfuscated_toxicity,
+    "op7_latent_leaks": decontaminate.op7_latent_leaks,
     "op8_hash_threshold_mix": mixing.op8_hash_threshold_mix,
     "op9_dice_licenses": licenses.op9_dice_licenses,
     "op10_sketch_near_duplicates": near_dedup.op10_sketch_near_duplicates,

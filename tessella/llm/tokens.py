@@ -26,6 +26,8 @@ def numbers(n: int, seed: int) -> np.ndarray:
 
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII characters that are neither letters nor digits: what separates words whose punctuation doesn't matter.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BYTE = numbers(256, 11)
@@ -73,7 +75,7 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
 class Words:
     """Words of a chunk of documents, in order: hash (of the lower-cased bytes), document and the documents' bounds."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES):
         data = data[offsets[0] : offsets[-1]]
         at = offsets - offsets[0]
         n, self.docs = len(data), len(at) - 1
@@ -83,7 +85,7 @@ class Words:
             self.first = np.zeros(self.docs + 1, np.int64)
             self.doc = np.zeros(0, np.int64)
             return
-        inside = ~SPACES[data]
+        inside = ~separators[data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[at] = True
         before = np.empty(n, dtype=bool)
@@ -92,9 +94,8 @@ class Words:
         after = np.empty(n, dtype=bool)
         after[-1], after[:-1] = False, inside[1:]
         self.ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        table = BYTE[LOWER] if lower else BYTE
         sums = np.zeros(n + 1, dtype=U)
-        np.cumsum(table[data] * POWERS.upto(n), out=sums[1:])
+        np.cumsum(BYTE[LOWER][data] * POWERS.upto(n), out=sums[1:])
         self.hash = mix((sums[self.ends] - sums[self.starts]) * INVERSES.upto(n + 1)[self.starts] + U(1))
         self.first = np.searchsorted(self.starts, at)
         self.doc = np.repeat(np.arange(self.docs), np.diff(self.first))

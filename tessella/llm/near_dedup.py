@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) -> Data
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """Rows of ``docs`` without near duplicates of another: of each component the document of the least doc_id, once.
 
-    Rows with an id that isn't kept go; of rows that repeat a kept id, the first by the hash of all columns stays.
+    Rows with an id that isn't kept go; of rows that repeat a kept id, one stays.
     Rows with a null doc_id and rows without words are linked with nothing and stay.
     """
     gone = near_duplicates(docs, width, least).where(~F.col("kept")).select("doc_id").distinct()

@@ -31,8 +31,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
     max_repeats times its source's size, the excess reshared by weight. Sources rank by code point, null last,
     and take the weights in turn. One row per source, so the windows here are over a small table.
 
-    Resharing until nothing is above its cap ends where a level x gives sum(min(cap, x * weight)) = total; sources in
-    order of cap / weight are capped up to the first one whose ratio is not below the level the rest would get.
+    Resharing until nothing is above its cap ends where a level x gives sum(min(cap, x * weight)) = total. With sources in
+    order of cap / weight and the first ones capped, the level of the rest rises as long as the next one belongs among
+    the capped and falls after that, so x is the highest of these levels.
     """
     ranked = sizes.select(
         "source",
@@ -43,8 +44,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
     )
     before = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     level = ranked.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(Window.partitionBy()) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    met = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(Window.partitionBy())
-    return level.withColumn("target", F.round(F.least(F.col("cap").cast("double"), F.coalesce(met * F.col("weight"), F.col("cap").cast("double"))), 6)).select("source", "source_size", "target")
+    met = F.max("level").over(Window.partitionBy())
+    return level.withColumn("target", F.round(F.least(F.col("cap").cast("double"), met * F.col("weight")), 6)).select("source", "source_size", "target")
 
 
 def thresholds(narrow: DataFrame, goals: DataFrame) -> DataFrame:
@@ -113,8 +114,8 @@ r AS (SELECT source, source_size, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (OR
     source_size * 3 AS cap, sum(source_size) OVER () AS total FROM s),
 l AS (SELECT *, (total - coalesce(sum(cap) OVER w, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level FROM r
     WINDOW w AS (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-m AS (SELECT source, source_size, cap, weight, min(CASE WHEN level * weight <= cap THEN level END) OVER () AS x FROM l),
-t AS (SELECT source, source_size, round(least(cap::DOUBLE, coalesce(x * weight, cap::DOUBLE)), 6) AS target FROM m),
+m AS (SELECT source, source_size, cap, weight, max(level) OVER () AS x FROM l),
+t AS (SELECT source, source_size, round(least(cap::DOUBLE, x * weight), 6) AS target FROM m),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3)::BIGINT ELSE 0 END AS whole FROM t),
 h AS (SELECT d.source, d.hash, sum(d.size) AS words FROM d GROUP BY ALL),
 u AS (SELECT h.source, h.hash, h.words, sum(h.words) OVER (PARTITION BY h.source ORDER BY h.hash) AS upto FROM h),

@@ -2,5 +2,37 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions.boxes import box_from_xywh
+from tessella.plans.fixtures import Fixtures, duck
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register ``fn(fixtures)`` under ``name``, with the DuckDB text that gives the same rows."""
+
+    def wrap(fn: Callable[[Fixtures], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: fn(Fixtures(spark, sf_dir))
+        if sql is not None:
+            SQL[name] = duck(sql)
+        return fn
+
+    return wrap
+
+
+def r6(c: Column) -> Column:
+    """Rounded to six places in binary, halves away from zero, without a negative zero."""
+    return F.signum(c) * F.floor(F.abs(c) * 1e6 + 0.5) / 1e6 + 0.0
+
+
+def b(df: DataFrame, name: str = "box") -> DataFrame:
+    return df.withColumn(name, box_from_xywh(*[F.col(k) for k in "xywh"]))
+
+
+from tessella.plans import queries_boxes, queries_logs, queries_rings, queries_sets  # noqa: E402, F401

@@ -26,7 +26,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= longest)
     joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
-    return sorted((r.doc_id, r.label, r.text) for r in joined.toLocalIterator())
+    return sorted((r.doc_id, r.label, r.text) for r in joined.collect())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:

@@ -10,8 +10,10 @@ from tessella.sources.shared import materialize
 SPACE = r"[\x20\x09-\x0D]+"
 #: Share of good documents that all rules together may reject in a stratum, and the chance that this fails.
 MAX_FALSE_REJECTION, CONFIDENCE_ERROR = 0.05, 0.05
-#: Cutoffs tried for a rule: these quantiles of the bad documents in the learning half.
-LADDER = tuple(i / 40 for i in range(1, 40))
+#: Cutoffs tried for a rule: these quantiles of the bad and of the good documents in the learning half.
+LADDER, GOOD_LADDER = tuple(i / 40 for i in range(1, 40)), (0.999, 1.0)
+#: What a good document above a cutoff costs against a bad one, and how much gain is given up for a looser cutoff.
+GOOD_COST, SLACK = 5.0, 0.005
 
 
 def _let(value: Column, use) -> Column:
@@ -96,12 +98,12 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang") -> Da
     """(stratum, rule, cutoff, k, n, bound): certified cutoffs; a value above the cutoff rejects.
 
     Labelled documents that pass the base rules are split in halves by their id. The learning half gives each rule's
-    ladder of cutoffs and the gain of each (share of bad minus share of good documents above it). On the held-out
+    ladder of cutoffs and the gain of each (share of bad minus GOOD_COST times the share of good documents above it). On the held-out
     half, k of n good documents of a stratum lie above a cutoff; it passes if a Binomial(n, a) has at most k with
     chance at most d, i.e. the exact upper confidence bound of its false rejection is at most a. Cutoffs are tested
     from the loosest down until one fails (a fixed sequence needs no correction), and a = MAX_FALSE_REJECTION / rules,
-    d = CONFIDENCE_ERROR / (rules * strata) correct for the rest (Bonferroni). Of those that pass, the largest gain
-    over 0 is chosen, the loosest on ties; a rule without one is not used. Strata with too few labels reject nothing.
+    d = CONFIDENCE_ERROR / (rules * strata) correct for the rest (Bonferroni). Of those that pass with a gain
+    over 0, the loosest within SLACK of the largest gain is chosen; a rule without one is not used. Strata with too few labels reject nothing.
     """
     named = rules()
     a = MAX_FALSE_REJECTION / len(named)
@@ -111,7 +113,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang") -> Da
         key.alias("stratum"), (F.crc32(F.col("doc_id").cast("string")) % 2 == 1).alias("held"), (F.col("quality") == 1).alias("good"),
         F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), v.alias("value")) for n, v in named.items()])).alias("r"),
     ).select("stratum", "held", "good", "r.rule", "r.value")
-    ladder = long.where(~F.col("held") & ~F.col("good")).groupBy("rule").agg(F.explode(F.array_distinct(F.percentile_approx("value", list(LADDER), 10000))).alias("cutoff"))
+    learn = long.where(~F.col("held"))
+    quantiles = lambda good, at: F.coalesce(F.percentile_approx(F.when(F.col("good") == good, F.col("value")), list(at), 10000), F.array().cast("array<double>"))
+    ladder = learn.groupBy("rule").agg(F.concat(quantiles(False, LADDER), quantiles(True, GOOD_LADDER)).alias("c")).select("rule", F.explode(F.array_distinct("c")).alias("cutoff"))
     # values -> the number of cutoffs below them; counts by that number add up to counts above each cutoff
     steps = ladder.groupBy("rule").agg(F.sort_array(F.collect_list("cutoff")).alias("steps"))
     counted = long.join(F.broadcast(steps), "rule").select("stratum", "rule", "held", "good", F.size(F.filter("steps", lambda s: s < F.col("value"))).alias("above"))
@@ -125,9 +129,10 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang") -> Da
     strata = F.size(F.collect_set(F.coalesce(F.concat(F.lit("="), F.col("stratum").cast("string")), F.lit("null"))).over(Window.partitionBy()))
     tested = tested.withColumn("bound", binomial_cdf(F.col("k"), F.col("n"), a)).withColumn("strata", strata)
     fails = F.max(F.when(F.col("bound") > CONFIDENCE_ERROR / (len(named) * F.col("strata")), 1).otherwise(0)).over(Window.partitionBy("stratum", "rule").orderBy(F.desc("i")))
-    gain = F.coalesce(F.try_divide(F.col("bad_out").cast("double"), F.col("lb")), F.lit(0.0)) - F.coalesce(F.try_divide(F.col("good_out").cast("double"), F.col("lg")), F.lit(0.0))
+    gain = F.coalesce(F.try_divide(F.col("bad_out").cast("double"), F.col("lb")), F.lit(0.0)) - GOOD_COST * F.coalesce(F.try_divide(F.col("good_out").cast("double"), F.col("lg")), F.lit(0.0))
     passed = tested.withColumn("fails", fails).withColumn("gain", gain).where((F.col("fails") == 0) & (F.col("gain") > 0))
-    best = passed.groupBy("stratum", "rule").agg(F.max(F.struct("gain", "i", "cutoff", "k", "n", "bound")).alias("b"))
+    near = passed.withColumn("top", F.max("gain").over(Window.partitionBy("stratum", "rule"))).where(F.col("gain") >= F.col("top") - SLACK)
+    best = near.groupBy("stratum", "rule").agg(F.max(F.struct("i", "gain", "cutoff", "k", "n", "bound")).alias("b"))
     return best.select("stratum", "rule", "b.cutoff", "b.k", "b.n", "b.bound")
 
 

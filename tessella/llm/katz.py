@@ -213,24 +213,28 @@ def score_seen(model: Model, parts: int):
         owes = (two == 0) & (before > 0)
         doc = np.repeat(np.arange(len(c.held)), np.diff(c.bounds))
         sums = lambda v: np.bincount(doc, weights=v, minlength=len(c.held))
-        # contexts that are owed for, or that this chunk's own bigrams add to
+        # contexts that are owed for, and those that this chunk's own bigrams add to
         adds = np.flatnonzero(mine)
         owing = np.flatnonzero(owes[c.pair])
-        used = np.unique(np.concatenate((c.left[adds], c.context[owing])))
+        asked = np.unique(c.context[owing])
+        used = np.union1d(c.left[adds], asked)
         place = np.zeros(len(c.names), dtype=np.int64)
         place[used] = np.arange(len(used))
-        mass = np.bincount(place[c.left[adds]], weights=p1[c.right[adds]], minlength=len(used))
-        few = np.stack([np.bincount(place[c.left[adds]], weights=two[adds] == r, minlength=len(used)) for r in range(1, K + 1)] + [np.bincount(place[c.left[adds]], weights=two[adds] > K, minlength=len(used))]).astype(np.int32)
-        counts = np.append(one, model.docs)[used]
+        at, after = place[c.left[adds]], one[c.right[adds]]
+        count_of = lambda counts, r: np.bincount(at, weights=(counts == r) if r <= K else (counts > K), minlength=len(used))
+        total = np.bincount(at, weights=after, minlength=len(used)).astype(np.int64)
+        few = np.stack([count_of(x, r) for x in (two[adds], after) for r in range(1, K + 2)] + [np.append(one, model.docs)[used], np.isin(used, asked)]).astype(np.int32)
         order, bounds = deal(c.names[used], parts)
         out = []
         for p in np.flatnonzero(np.diff(bounds)):
-            at = order[bounds[p] : bounds[p + 1]]
-            out.append({"kind": 1, "chunk": c.row["chunk"], "slot": int(p), "keys": pack_sorted(c.names[used][at]), "values": pack(mass[at]), "few": pack(np.concatenate((few[:, at].reshape(-1), counts[at].astype(np.int32))))})
+            i = order[bounds[p] : bounds[p + 1]]
+            out.append({"kind": 1, "chunk": c.row["chunk"], "slot": int(p), "keys": pack_sorted(c.names[used][i]), "values": pack(total[i]), "few": pack(few[:, i].reshape(-1))})
+        rank = np.zeros(len(c.names), dtype=np.int64)
+        rank[asked[np.argsort(c.names[asked])]] = np.arange(len(asked))
         known = one > 0
         out.append({
-            "kind": 0, "chunk": c.row["chunk"], "keys": pack_sorted(np.sort(c.names[used])), "docs": pack(doc[owing].astype(np.int32)),
-            "contexts": pack(np.argsort(np.argsort(c.names[used]))[place[c.context[owing]]].astype(np.int32)), "doc_ids": c.row["doc_ids"], "held": c.row["held"],
+            "kind": 0, "chunk": c.row["chunk"], "keys": pack_sorted(np.sort(c.names[asked])), "docs": pack(doc[owing].astype(np.int32)),
+            "contexts": pack(rank[c.context[owing]].astype(np.int32)), "doc_ids": c.row["doc_ids"], "held": c.row["held"],
             "n_tokens": np.diff(c.bounds).tolist(), "n_known": sums(known[c.ids]).astype(np.int64).tolist(), "base": sums(model.base(one)[c.ids]).tolist(), "score": sums(score[c.pair]).tolist(),
         })
         return pa.Table.from_pylist(out, schema=PARTIALS)
@@ -245,29 +249,35 @@ def backoff_weights(model: Model):
     def of(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
         sums = Sums([unpack_sorted(r["keys"]) for r in rows])
-        few = [unpack(r["few"], np.int32).reshape(K + 2, -1) for r in rows]
-        mass = sums.total([unpack(r["values"], np.float64) for r in rows])
-        left = given_up([0, *(sums.total([f[r] for f in few]) for r in range(K + 1))], model.two)
+        few = [unpack(r["few"], np.int32).reshape(2 * K + 4, -1) for r in rows]
+        seen, words = ([0, *(sums.total([f[i + r] for f in few]) for r in range(K + 1))] for i in (0, K + 1))
+        mass = (sums.total([unpack(r["values"], np.int64) for r in rows]) - given_up(words, model.one)) / model.n
         count = np.zeros(len(sums.keys))
-        count[sums.of] = np.concatenate([f[K + 1] for f in few])
-        weight = np.log10(left / count / np.maximum(1 - mass, 1e-300))
-        out = [{"kind": 1, "chunk": r["chunk"], "slot": r["slot"], "keys": r["keys"], "values": pack(v)} for r, v in zip(rows, sums.answer(weight))]
+        count[sums.of] = np.concatenate([f[-2] for f in few])
+        weight = np.log10(given_up(seen, model.two) / count / np.maximum(1 - mass, 1e-300))
+        out = [{"kind": 1, "chunk": r["chunk"], "slot": r["slot"], "values": pack(v[f[-1] > 0])} for r, f, v in zip(rows, few, sums.answer(weight))]
         return pa.Table.from_pylist(out, schema=PARTIALS)
 
     return of
 
 
-def finish(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    c = next(r for r in rows if r["kind"] == 0)
-    keys = unpack_sorted(c["keys"])
-    weights = np.zeros(len(keys))
-    for r in rows:
-        if r["kind"] == 1:
-            weights[np.searchsorted(keys, unpack_sorted(r["keys"]))] = unpack(r["values"], np.float64)
-    doc, context = unpack(c["docs"], np.int32), unpack(c["contexts"], np.int32)
-    score = np.array(c["score"]) + np.bincount(doc, weights=weights[context], minlength=len(c["doc_ids"]))
-    return pa.table({"doc_id": pa.array(c["doc_ids"], pa.int64()), "held_out": pa.array(c["held"], pa.bool_()), "n_tokens": pa.array(c["n_tokens"], pa.int64()), "n_known": pa.array(c["n_known"], pa.int64()), "base_score": pa.array(c["base"], pa.float64()), "score": pa.array(score, pa.float64())})
+def finish(parts: int):
+    """A chunk's documents with the weights that their contexts owed."""
+
+    def of(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        c = next(r for r in rows if r["kind"] == 0)
+        keys = unpack_sorted(c["keys"])
+        order, bounds = deal(keys, parts)
+        weights = np.zeros(len(keys))
+        for r in rows:
+            if r["kind"] == 1:
+                weights[order[bounds[r["slot"]] : bounds[r["slot"] + 1]]] = unpack(r["values"], np.float64)
+        doc, context = unpack(c["docs"], np.int32), unpack(c["contexts"], np.int32)
+        score = np.array(c["score"]) + np.bincount(doc, weights=weights[context], minlength=len(c["doc_ids"]))
+        return pa.table({"doc_id": pa.array(c["doc_ids"], pa.int64()), "held_out": pa.array(c["held"], pa.bool_()), "n_tokens": pa.array(c["n_tokens"], pa.int64()), "n_known": pa.array(c["n_known"], pa.int64()), "base_score": pa.array(c["base"], pa.float64()), "score": pa.array(score, pa.float64())})
+
+    return of
 
 
 def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
@@ -286,8 +296,8 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
     columns = [f"{f.split()[0]}" for f in CHUNK_SCHEMA.split(", ")]
     told = stored.select(F.lit(0).alias("kind"), *columns).unionByName(counted.where("kind > 0").select("kind", "chunk", "slot", "counts"), allowMissingColumns=True)
     partial = materialize(told.groupBy("chunk").applyInArrow(score_seen(model, parts), PARTIAL_SCHEMA))
-    weights = materialize(partial.where("kind = 1").groupBy("slot").applyInArrow(backoff_weights(model), PARTIAL_SCHEMA))
-    done = partial.where("kind = 0").unionByName(weights).groupBy("chunk").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    weights = partial.where("kind = 1").groupBy("slot").applyInArrow(backoff_weights(model), PARTIAL_SCHEMA)
+    done = partial.where("kind = 0").unionByName(weights).groupBy("chunk").applyInArrow(finish(parts), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

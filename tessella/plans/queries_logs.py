@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import aggregates as A
 from tessella.operators import thresholds, windows
-from tessella.plans.registry import query, r6
+from tessella.plans.registry import query, r6, r9
 from tessella.sources import logs
 from tessella.sources.shared import shared_dir
 from tessella.streaming import meters
@@ -80,11 +80,11 @@ def _(fx):
     return A.benchmark_summary(fx.steps, "metric", "step", "value", 5, 4).select("metric", r6(c("mean_s")).alias("mean_s"), r6(c("rate")).alias("rate"))
 
 
-@query("f1_smoothed_meter", """SELECT metric, step, round(list_sort(v)[CAST(floor((len(v)+1)/2) AS INT)], 6) AS median, round(list_avg(v), 6) AS mean, round(list_max(v), 6) AS max, round(g, 6) AS global_mean FROM (
+@query("f1_smoothed_meter", """SELECT metric, step, round(list_sort(v)[CAST(floor((len(v)+1)/2) AS INT)], 9) AS median, round(list_avg(v), 9) AS mean, round(list_max(v), 9) AS max, round(g, 9) AS global_mean FROM (
   SELECT metric, step, list(value) OVER (PARTITION BY metric ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS v, avg(value) OVER (PARTITION BY metric ORDER BY step ROWS UNBOUNDED PRECEDING) AS g FROM fx_steps) t""")
 def _(fx):
     d = windows.smoothed_meter(fx.steps, ["metric"], "step", "value", 20)
-    return d.select("metric", "step", *[r6(c(k)).alias(k) for k in ("median", "mean", "max", "global_mean")])
+    return d.select("metric", "step", *[r9(c(k)).alias(k) for k in ("median", "mean", "max", "global_mean")])
 
 
 @query("f5_epoch_context", "SELECT run_id, epoch, round(lag(conf_mean) OVER w, 6) AS prev_conf_mean, round(lag(conf_kept) OVER w, 6) AS prev_conf_kept, round(max(conf_mean) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS best_conf FROM fx_epochs WINDOW w AS (PARTITION BY run_id ORDER BY epoch)")
@@ -170,14 +170,14 @@ def _(fx):
     return d.select("category_id", "step", r6(c("ema")).alias("threshold"))
 
 
-@query("s1_running_meters", """SELECT metric, step, round(list_sort(v)[CAST(floor((len(v)+1)/2) AS INT)], 6) AS median, round(list_avg(v), 6) AS mean, round(g, 6) AS global_mean FROM (
+@query("s1_running_meters", """SELECT metric, step, round(list_sort(v)[CAST(floor((len(v)+1)/2) AS INT)], 9) AS median, round(list_avg(v), 9) AS mean, round(g, 9) AS global_mean FROM (
   SELECT metric, step, list(value) OVER (PARTITION BY metric ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS v, avg(value) OVER (PARTITION BY metric ORDER BY step ROWS UNBOUNDED PRECEDING) AS g FROM fx_steps) t""")
 def _(fx):
     path = scratch(fx)
     fx.steps.select("metric", "step", "value").write.parquet(f"{path}/in")
     stream = fx.spark.readStream.schema("metric string, step long, value double").parquet(f"{path}/in")
     d = meters.drain(meters.running_meters(stream), fx.spark, path)
-    return d.select("metric", "step", *[r6(c(k)).alias(k) for k in ("median", "mean", "global_mean")])
+    return d.select("metric", "step", *[r9(c(k)).alias(k) for k in ("median", "mean", "global_mean")])
 
 
 @query("s2_running_threshold", f"WITH RECURSIVE {EMA} SELECT CAST(run_id AS VARCHAR) AS stream, CAST(epoch AS BIGINT) AS step, round(ema, 6) AS ema FROM e WHERE epoch >= 0")

@@ -31,6 +31,11 @@ def r6(c: Column) -> Column:
     return F.signum(c) * F.floor(F.abs(c) * 1e6 + 0.5) / 1e6 + 0.0
 
 
+def r9(c: Column) -> Column:
+    """Nine places, for short means of short decimals: at six they may fall on a half."""
+    return F.signum(c) * F.floor(F.abs(c) * 1e9 + 0.5) / 1e9 + 0.0
+
+
 def b(df: DataFrame, name: str = "box") -> DataFrame:
     return df.withColumn(name, box_from_xywh(*[F.col(k) for k in "xywh"]))
 

@@ -45,13 +45,10 @@ def _(fx):
     return A.dice_loss(d, "image_id", "p", "t").select("image_id", r6(c("dice_loss")).alias("dice_loss"))
 
 
-@query("e23_reconstruction_error")
+@query("e23_reconstruction_error", "WITH t AS (SELECT list_sum(list_transform(embedding, lambda x: pow(CAST(x AS DOUBLE) - CAST(x AS DOUBLE)*0.5, 2)))/len(embedding) AS e, CAST(vec_id % 2 AS DOUBLE) AS m FROM embeddings) SELECT round(sum(m*e)/(sum(m)+1e-6), 6) AS reconstruction_error FROM t")
 def _(fx):
-    df = fx.embeddings
-    name = next(k for k, t in df.dtypes if t.startswith("array"))
-    ids = next(k for k, t in df.dtypes if t in ("bigint", "int"))
-    v = F.transform(name, lambda x: x.cast("double"))
-    d = df.select(v.alias("a"), F.transform(v, lambda x: x * 0.5).alias("b"), (c(ids) % 2).cast("double").alias("mask"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    d = fx.embeddings.select(v.alias("a"), F.transform(v, lambda x: x * 0.5).alias("b"), (c("vec_id") % 2).cast("double").alias("mask"))
     return A.reconstruction_error(d, "a", "b", "mask").select(r6(c("reconstruction_error")).alias("reconstruction_error"))
 
 

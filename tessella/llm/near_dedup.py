@@ -13,10 +13,12 @@ from tessella.llm.components import components
 from tessella.llm.tokens import U, Words, chunks, column_bytes, mix, numbers, shingles
 from tessella.sources.shared import materialize
 
-#: Coordinates of a sketch and rows of a band: a pair at similarity 0.8 shares none of 32 bands with chance 5e-8.
-COORDINATES, ROWS = 128, 4
-#: Pairs whose sketches agree in fewer coordinates are not verified: over 6 deviations under 0.8.
-SURE_BELOW = 0.57
+#: Coordinates of a sketch, bands and their rows: a pair at similarity 0.8 shares none of 32 bands with chance 5e-8.
+COORDINATES, BANDS, ROWS = 256, 32, 4
+#: Pairs whose sketches agree in fewer coordinates are not verified: 5.6 deviations under 0.8.
+SURE_BELOW = 0.66
+#: Members of a hub's group that are compared with each other in one piece, and rows for a task's group.
+PIECE, GROUP_ROWS = 1024, 4000
 BITS = COORDINATES.bit_length() - 1
 SEEDS = numbers(2 * COORDINATES, 77)
 
@@ -42,7 +44,7 @@ def sketch(items: np.ndarray) -> np.ndarray:
 
 
 def band_keys(got: np.ndarray) -> np.ndarray:
-    rows = got.reshape(-1, ROWS)
+    rows = got[: BANDS * ROWS].reshape(BANDS, ROWS)
     keys = np.arange(1, len(rows) + 1, dtype=U) * U(0x9E3779B97F4A7C15)
     for k in range(ROWS):
         keys = mix(keys * U(0xA24BAED4963EE407) + rows[:, k])
@@ -105,28 +107,80 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = (np.frombuffer(v.as_buffer(), dtype=U) for v in (x, y))
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                merged = np.sort(np.concatenate((p, q)))
-                both = int((merged[1:] == merged[:-1]).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            keep = [shares(np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U), percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
 
 
+def shares(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sorted sets."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    merged = np.sort(np.concatenate((p, q)))
+    both = int((merged[1:] == merged[:-1]).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def links_across(members: DataFrame, groups: int, least: float) -> DataFrame:
+    """(a, b): links between different components of a group, enough of them to join all that are linked.
+
+    ``members`` has hub, n (size of the hub's group), node, component, sketch, items. A group of n members is cut into pieces of
+    about PIECE by a hash, and every two pieces meet once, so no task holds a group whole. Pairs whose sketches are
+    alike are verified on full sets in the task, the likeliest first, and pairs that are joined by then are skipped: rows are
+    made of links only, however many pairs were alike.
+    """
+    percent = round(100 * least)
+    pieces = F.ceil(F.col("n") / PIECE).cast("int")
+    cells = members.withColumn("own", F.pmod(F.xxhash64("node"), pieces).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    cells = cells.select("hub", "node", "component", "sketch", "items", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.lexsort([table.column(c).to_numpy() for c in ("node", "j", "i", "hub")])))
+        cell = np.stack([table.column(c).to_numpy() for c in ("hub", "i", "j")])
+        starts = np.flatnonzero(np.concatenate(([True], (cell[:, 1:] != cell[:, :-1]).any(axis=0))))
+        node, component, own = (table.column(c).to_numpy() for c in ("node", "component", "own"))
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
+        items = [np.frombuffer(v.as_buffer(), dtype=U) for v in table.column("items")]
+        out = []
+        for lo, hi in zip(starts, np.append(starts[1:], len(node))):
+            same_piece = cell[1][lo] == cell[2][lo]
+            pairs = []
+            for x in range(lo, hi - 1):
+                apart = component[x + 1 : hi] != component[x]
+                if not same_piece:
+                    apart &= own[x + 1 : hi] != own[x]
+                apart = np.flatnonzero(apart) + x + 1
+                if len(apart):
+                    agree = (sketches[apart] == sketches[x]).mean(axis=1)
+                    pairs += [(-e, x, y) for e, y in zip(agree[agree >= SURE_BELOW].tolist(), apart[agree >= SURE_BELOW].tolist())]
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while (up := root.get(c, c)) != c:
+                    root[c] = root.get(up, up)
+                    c = up
+                return c
+
+            for _, x, y in sorted(pairs):
+                p, q = find(int(component[x])), find(int(component[y]))
+                if p != q and shares(items[x], items[y], percent):
+                    root[max(p, q)] = min(p, q)
+                    out.append((int(max(node[x], node[y])), int(min(node[x], node[y]))))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return cells.groupBy(F.pmod(F.xxhash64("hub", "i", "j"), F.lit(groups))).applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Texts of the same words form one node, named by their least doc_id; only nodes are compared. Nodes that share a
-    band go to the band's least node (a star); stars are verified exactly and joined to components. Where a band then
-    still holds several components, its pairs across components are verified too, so a link that passes by the star's
-    centre isn't lost, and no group is expanded into all its pairs. Links need sets whose sketches share a band.
+    band go to the band's hub, its node that meets the most others over all bands (a star); stars are verified exactly and
+    joined to components. Where the nodes that met a hub are then still several components, pairs across them whose
+    sketches are alike are verified too, so a link that passes by the hub isn't lost: nodes that share a band share its
+    hub. No group is expanded into all its pairs as rows.
 
     A text with fewer words than ``width`` is one shingle; null, empty and blank texts have none and are linked with
     nothing. Rows that repeat a doc_id are taken as one document's. A null doc_id has a null component.
@@ -136,20 +190,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) -> Data
     nodes = materialize(filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     slim = nodes.select("node", "sketch").dropDuplicates(["node"])
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
     crowded = materialize(keys.join(shared, "key"))
-    star = materialize(likely(crowded.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), slim))
-    wanted = crowded.select("node").distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi")
+    meets = crowded.groupBy("node").agg(F.sum("n").alias("meets"))
+    hubs = crowded.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", (-F.col("node")).alias("less"))).alias("h")).select("key", (-F.col("h.less")).alias("hub"))
+    met = materialize(crowded.join(hubs, "key").select("hub", "node").distinct())
+    pairs = met.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    star = likely(pairs, slim)
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(met.select("node").distinct(), "node", "left_semi")
     sets = materialize(shingle_sets(texts, width).groupBy("node").agg(F.max("items").alias("items")))
     links = materialize(confirmed(star, sets, least))
-    joined = components(links)
-    known = crowded.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    split = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    apart = materialize(known.join(split, "key"))
-    x, y = apart.alias("x"), apart.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    more = confirmed(likely(across, slim).join(star, ["a", "b"], "left_anti"), sets, least)
+    known = met.join(components(links), "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
+    split = materialize(known.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("hub", "n"))
+    rows = split.agg(F.sum(F.col("n") * F.ceil(F.col("n") / PIECE))).first()[0] or 0
+    more = links_across(known.join(split, "hub").join(slim, "node").join(sets, "node"), max(1, rows // GROUP_ROWS), least)
     final = components(materialize(links.unionByName(more)))
     member = base.alias("d").join(nodes.select("c1", "c2", "node").alias("n"), (F.col("d.c1") == F.col("n.c1")) & (F.col("d.c2") == F.col("n.c2")), "left")
     member = member.select("d.doc_id", "d.n_shingles", F.coalesce("n.node", "d.doc_id").alias("node"))

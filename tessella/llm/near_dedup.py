@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.components import components
@@ -19,6 +19,8 @@ COORDINATES, BANDS, ROWS = 256, 32, 4
 SURE_BELOW = 0.66
 #: Members of a hub's group that are compared with each other in one piece, and rows for a task's group.
 PIECE, GROUP_ROWS = 1024, 4000
+#: Size of the bitmap that chooses documents to verify: 8 MB.
+FILTER_BITS = 26
 BITS = COORDINATES.bit_length() - 1
 SEEDS = numbers(2 * COORDINATES, 77)
 
@@ -76,17 +78,39 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, c1 long, c2 long, n_shingles long, sketch binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, items): sorted distinct 64-bit shingle hashes as bytes."""
+def node_bit(node: Column) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(1 << FILTER_BITS))
+
+
+def marked(nodes: DataFrame) -> np.ndarray:
+    """A bitmap with the bits of ``nodes``: 2**FILTER_BITS bits, whatever their number."""
+    bit = node_bit(F.col("node"))
+    rows = nodes.groupBy(F.shiftright(bit, 15).alias("page")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit(32767).cast("long"))).alias("bits")).collect()
+    out = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    for r in rows:
+        out[r.page * 4096 : (r.page + 1) * 4096] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+    return out
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, items) of the documents named in ``nodes``: sorted distinct 64-bit shingle hashes as bytes. A broadcast bitmap of
+    fixed size passes over most other documents where they are read, so texts aren't shuffled; a join drops the rest."""
+    shared = docs.sparkSession.sparkContext.broadcast(marked(nodes))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
         for batch in batches:
+            bit = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
+            if not batch.num_rows:
+                continue
             data, offsets = column_bytes(batch.column(1))
             for lo, hi in chunks(offsets):
                 sets = shingles(Words(data, offsets[lo : hi + 1]), width)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
 
-    return docs.mapInArrow(rows, "node long, items binary")
+    named = docs.select(F.col("doc_id").alias("node"), "text").where("node is not null").withColumn("bit", node_bit(F.col("node")))
+    return named.mapInArrow(rows, "node long, items binary").join(nodes, "node", "left_semi")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -197,8 +221,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) -> Data
     met = materialize(crowded.join(hubs, "key").select("hub", "node").distinct())
     pairs = met.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
     star = likely(pairs, slim)
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(met.select("node").distinct(), "node", "left_semi")
-    sets = materialize(shingle_sets(texts, width).groupBy("node").agg(F.max("items").alias("items")))
+    sets = materialize(shingle_sets(docs, met.select("node").distinct(), width).groupBy("node").agg(F.max("items").alias("items")))
     links = materialize(confirmed(star, sets, least))
     known = met.join(components(links), "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
     split = materialize(known.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("hub", "n"))

@@ -63,6 +63,15 @@ def test_disguised_words_are_restored(spark, labelled):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_long_spelled_out_runs_are_read_whole(spark, labelled):
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels, "toxic", F.lit(True))
+    row, word = "a " * 80, "f o z z l e "
+    texts = [word + row, row + word, row + word + row, "i n " * 40 + word + "o r " * 300, row + row, "i n o r " * 40]
+    rows = toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.score >= 0.5 for r in rows] == [True] * 4 + [False] * 2
+
+
 def test_drop_toxic_keeps_columns(spark, labelled):
     docs, labels = labelled
     wide = docs.withColumn("score", F.lit(9)).withColumn("row", F.lit(1))

@@ -12,6 +12,8 @@ from tessella.functions import geo
 from tessella.functions import rings as R
 from tessella.operators import etl, evaluation, sampling, suppression
 from tessella.operators.numbering import number_rows
+from tessella.plans import registry
+from tessella.plans.fixtures import Fixtures
 from tessella.sources import coco, logs
 from tessella.streaming import meters
 
@@ -83,6 +85,17 @@ def test_polygon_iou_and_nms(spark):
     assert sorted(r.id for r in suppression.polygon_nms(df).collect()) == [1, 3]
 
 
+def test_polygon_queries_run_on_whole_tables(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    drawn = {r.id for r in registry.QUERIES["p3_extract_polygon"](spark, sf_dir).select("id").collect()}
+    assert drawn == {r.det_id for r in fx.detections.select("det_id").collect()}
+    rings = fx.rings.join(fx.images, "image_id").where("image_id <= 8").orderBy("ann_id").collect()
+    cells = [(r.image_id, r.ann_id, suppression.fill_cells(r.ring, r.width, r.height, 4)) for r in rings]
+    want = {(i, a, b): v for (i, a, p), (j, b, q) in itertools.combinations(cells, 2) if i == j and (v := suppression.cells_iou(p, q)) > 0}
+    got = {(r.image_id, r.id_a, r.id_b): r.iou for r in registry.QUERIES["p4_polygon_iou"](spark, sf_dir).where("image_id <= 8").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want) and len(want) > 50
+
+
 def test_coco_single_category(spark):
     det = pd.DataFrame([(1, 0, 1, 0.9, 0, 0, 10, 10), (1, 0, 2, 0.8, 0, 0, 10, 9), (1, 0, 3, 0.7, 50, 50, 60, 60), (2, 0, 4, 0.6, 0, 0, 10, 10)], columns=["image_id", "category_id", "det_id", "score", "x1", "y1", "x2", "y2"])
     gt = pd.DataFrame([(1, 0, 0, 0, 0, 10, 10), (2, 0, 0, 0, 0, 10, 10), (2, 0, 1, 30, 30, 60, 60)], columns=["image_id", "category_id", "iscrowd", "x1", "y1", "x2", "y2"])

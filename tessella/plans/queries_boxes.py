@@ -316,13 +316,9 @@ def _(fx):
 
 @query("p8_assign_pairs")
 def _(fx):
-    p, t = b(fx.detections, "pb").withColumn("p", c("score")), b(fx.objects, "tb")
-    best = windows.top_k(p, "image_id", 8, "score", "det_id").select("image_id", c("det_id").alias("query_id"), "p", "pb")
-    some = windows.top_k(t.withColumn("s", -c("ann_id").cast("double")), "image_id", 6, "s", "ann_id").select("image_id", c("ann_id").alias("gt_id"), "tb")
-    both = best.join(some, "image_id").join(fx.images, "image_id")
-    n = lambda k: B.normalize_box(c(k), c("width"), c("height"))
-    cost = both.select("image_id", "query_id", "gt_id", suppression.pair_cost(c("p"), n("pb"), n("tb"), B.generalized_box_iou(c("pb"), c("tb"))).alias("cost"))
-    return suppression.assign_pairs(cost).select("image_id", "query_id", "gt_id", r6(c("cost")).alias("cost"))
+    found = b(fx.detections).join(fx.images, "image_id").select("image_id", c("det_id").alias("query_id"), c("score").alias("p"), "box", "width", "height")
+    truth = b(fx.objects).select("image_id", c("ann_id").alias("gt_id"), "box")
+    return suppression.assign_pairs(found, truth).select("image_id", "query_id", "gt_id", r6(c("cost")).alias("cost"))
 
 
 @query("e5_top_half_mean", """SELECT category_id, round(avg(score), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY score DESC, det_id) AS k, count(*) OVER (PARTITION BY category_id) AS n FROM fx_detections) t

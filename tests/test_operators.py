@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions import boxes as B
 from tessella.functions import geo
 from tessella.functions import rings as R
 from tessella.operators import etl, evaluation, sampling, suppression
@@ -78,6 +79,33 @@ def test_hungarian_is_optimal():
         assert len(pairs) == min(n, m) and math.isclose(sum(cost[i, j] for i, j in pairs), best)
 
 
+def test_assignment_of_all_boxes(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    got = registry.QUERIES["p8_assign_pairs"](spark, sf_dir).collect()
+    n, m = ({r.image_id: r["count"] for r in d.groupBy("image_id").count().collect()} for d in (fx.detections, fx.objects))
+    pairs = pd.Series([r.image_id for r in got]).value_counts().to_dict()
+    assert pairs == {i: min(n[i], m[i]) for i in n.keys() & m.keys()} and max(pairs.values()) > 8
+    assert len({r.query_id for r in got}) == len({r.gt_id for r in got}) == len(got)
+
+
+def test_assignment_against_brute_force(spark):
+    """Nine predictions and seven objects, with costs in plain Spark columns."""
+    rng = np.random.default_rng(4)
+    box = lambda: (*map(float, x := rng.integers(0, 60, 2)), *map(float, x + rng.integers(5, 30, 2)))
+    q = spark.createDataFrame([(1, i, float(rng.uniform(0.05, 0.95)), box(), 100, 80) for i in range(9)], "image_id long, query_id long, p double, box struct<x1:double,y1:double,x2:double,y2:double>, width int, height int")
+    t = spark.createDataFrame([(1, i, box()) for i in range(7)] + [(2, 9, box())], "image_id long, gt_id long, box struct<x1:double,y1:double,x2:double,y2:double>")
+    both = q.join(t.withColumnRenamed("box", "tb"), "image_id").withColumns({"a": B.normalize_box(c("box"), c("width"), c("height")), "b": B.normalize_box(c("tb"), c("width"), c("height"))})
+    l1 = sum((F.abs(c("a")[k] - c("b")[k]) for k in ("cx", "cy", "w", "h")), F.lit(0.0))
+    focal = 0.25 * (1 - c("p")) ** 2 * -F.ln(c("p") + 1e-8) - 0.75 * c("p") ** 2 * -F.ln(1 - c("p") + 1e-8)
+    cost = np.zeros((9, 7))
+    for r in both.select("query_id", "gt_id", (5 * l1 + 2 * focal - 2 * B.generalized_box_iou(c("box"), c("tb"))).alias("cost")).collect():
+        cost[r.query_id, r.gt_id] = r.cost
+    got = suppression.assign_pairs(q, t).collect()
+    assert len(got) == 7 and all(r.image_id == 1 and math.isclose(r.cost, cost[r.query_id, r.gt_id], abs_tol=1e-9) for r in got)
+    order = np.array(list(itertools.permutations(range(9), 7)))
+    assert math.isclose(sum(r.cost for r in got), cost[order, np.arange(7)].sum(axis=1).min(), abs_tol=1e-9)
+
+
 def test_polygon_iou_and_nms(spark):
     square = lambda x: [{"x": x + a, "y": b} for a, b in ((0.0, 0.0), (40.0, 0.0), (40.0, 40.0), (0.0, 40.0))]
     df = spark.createDataFrame([(1, 1, square(0.0), 160, 160, 0.9), (1, 2, square(20.0), 160, 160, 0.8), (1, 3, square(100.0), 160, 160, 0.7)], "image_id long, id long, ring array<struct<x:double,y:double>>, width int, height int, score double")

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm.fitting import fold, labelled_sample, logistic, sigmoid
 
-#: Bounds of the fit: labelled rows for each class, bytes of a sampled text, bytes of a dictionary.
-SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 3000, 60_000, 64_000
+#: Bounds of the fit: labelled rows for each class, blocks that a text gives to a dictionary (spread over all of it), bytes of
+#: a dictionary.
+SAMPLE_ROWS, SAMPLE_BLOCKS, DICTIONARY_BYTES = 3000, 30, 64_000
 #: Texts are compressed in blocks, so that the dictionary and not the text's own start explains each of them.
 BLOCK, LEVEL = 2048, 3
 
@@ -22,9 +23,15 @@ def blocks(data: bytes) -> list[bytes]:
     return [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary trained on blocks of ``texts``; their plain end where there is too little to train on."""
-    samples = [b for t in texts for b in blocks(t) if len(b) >= 64]
+def spread(data: bytes) -> list[bytes]:
+    """Up to SAMPLE_BLOCKS blocks at even distances over the whole text."""
+    all_blocks = blocks(data)
+    return [all_blocks[i] for i in sorted({round(k * (len(all_blocks) - 1) / (SAMPLE_BLOCKS - 1)) for k in range(SAMPLE_BLOCKS)})] if all_blocks else []
+
+
+def dictionary(samples: list[bytes]) -> bytes:
+    """A dictionary trained on blocks; their plain end where there is too little to train on."""
+    samples = [b for b in samples if len(b) >= 64]
     if sum(map(len, samples)) >= 20 * DICTIONARY_BYTES:
         try:
             return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=200, d=8).as_bytes()
@@ -50,14 +57,27 @@ class Sizes:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column) -> tuple[bytes, bytes, list[float]]:
     """(good dictionary, bad dictionary, logistic weights). Half of the bounded sample trains the dictionaries, the
-    other half calibrates: a text in the dictionary would look better than it is. Without any labels the score is 0.5."""
-    rows = labelled_sample(docs, labels, label, keep, {0: SAMPLE_ROWS, 1: SAMPLE_ROWS}, SAMPLE_BYTES)
-    halves = [[(y, t) for i, (_, y, t) in enumerate(rows) if i % 2 == h] for h in (0, 1)]
-    good, bad = (dictionary([t.encode("utf-8", "replace") for y, t in halves[0] if y == v]) for v in (1, 0))
-    sizes = Sizes(good, bad)
-    x = np.array([sizes.features(t) for _, t in halves[1]]).reshape(-1, 2)
-    y = np.array([y for y, _ in halves[1]], dtype=float)
-    return good, bad, logistic(design(x), y).tolist()
+    other half calibrates on whole texts: a text in the dictionary would look better than it is. Only blocks and two
+    numbers for each text reach the driver. Without any labels the score is 0.5."""
+    sample = labelled_sample(docs, labels, label, keep, {0: SAMPLE_ROWS, 1: SAMPLE_ROWS})
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [spread(t.as_py().encode("utf-8", "replace")) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(got, pa.list_(pa.binary()))], names=["doc_id", "label", "blocks"])
+
+    given = sorted(sample.where("part < 2").select("doc_id", "label", "text").mapInArrow(some, "doc_id long, label int, blocks array<binary>").collect(), key=lambda r: r.doc_id)
+    good, bad = (dictionary([bytes(b) for r in given if r.label == v for b in r.blocks]) for v in (1, 0))
+    shared = docs.sparkSession.sparkContext.broadcast((good, bad))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = Sizes(*shared.value)
+        for batch in batches:
+            x = np.array([sizes.features(t.as_py()) for t in batch.column(1)]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["label", "a", "b"])
+
+    held = np.array(sorted(map(tuple, sample.where("part > 1").select("label", "text").mapInArrow(measure, "label int, a double, b double").collect())), dtype=float).reshape(-1, 3)
+    return good, bad, logistic(design(held[:, 1:]), held[:, 0]).tolist()
 
 
 def design(x: np.ndarray) -> np.ndarray:

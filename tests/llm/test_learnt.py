@@ -45,6 +45,30 @@ def test_quality_edges(spark, labelled):
     assert compression.score_quality(docs.limit(0), model).count() == 0
 
 
+def test_quality_against_plain_compression(spark, labelled):
+    """Scores are those of compressing every 2,048 bytes under each dictionary, one text at a time."""
+    import math
+
+    import zstandard
+
+    docs, labels = labelled
+    good, bad, w = model = compression.fit(docs, labels, "quality", F.lit(True))
+
+    def size(data, dictionary):
+        c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False)
+        return sum(len(c.compress(data[i : i + 2048])) for i in range(0, len(data), 2048))
+
+    long = spark.createDataFrame([(-1, "very long text ### " * 20_000), (-2, None), (-3, "")], "doc_id long, text string")
+    both = docs.limit(60).unionByName(long)
+    texts = {r.doc_id: (r.text or "").encode() for r in both.collect()}
+    for r in compression.score_quality(both, model).collect():
+        data = texts[r.doc_id]
+        g, b = size(data, good), size(data, bad)
+        ncd, rate = ((b - g) / (b + g), g / len(data)) if data else (0.0, 1.0)
+        z = sum(x * y for x, y in zip((100 * ncd, 10 * rate, 10 * rate * rate, 100 * ncd * rate, 1.0), w))
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 def test_toxicity_on_held_out_rows(labelled):
     docs, labels = labelled
     held = fold(F.col("doc_id"), 5) == 0
@@ -72,6 +96,52 @@ def test_long_spelled_out_runs_are_read_whole(spark, labelled):
     assert [r.score >= 0.5 for r in rows] == [True] * 4 + [False] * 2
 
 
+def test_rules_doubled_letters_and_pieces(spark, labelled):
+    """Long rows of one mark end in no time, and take no word with them; repeats of two and pieces of words are read."""
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels, "toxic", F.lit(True))
+    tail = " an the or in re shti onre"
+    rule = "-" * 10_000
+    texts = [rule + "ab" + tail, rule + " fozzle", "a" + "." * 10_000 + "b", "- " * 5000 + "x", "_" * 10_000 + tail, "f o z z l e " + "- " * 3000]
+    texts += ["blarpiish" + tail, "grrunkit" + tail, "fo zz le" + tail, "s-n-o-r-d-l-e, x", "f.o z.z l.e" + tail, "an the fo.zz.le" + tail, "x y z " * 200 + "s n o r d l e " + "q p " * 500]
+    rows = toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.score >= 0.5 for r in rows] == [False, True, False, False, False, True] + [True] * 7
+
+
+def test_decoder_against_all_sources():
+    """Viterbi finds the best of all sources, counted one by one."""
+    from collections import Counter
+    from itertools import groupby, product
+
+    rng = random.Random(3)
+    pairs, floor = toxicity.Channel.learn(Counter({"fozzle": 9, "grunkit": 4, "an": 30, "off": 7, "the": 20, "zoo": 5}))
+    channel = toxicity.Channel(pairs, floor)
+
+    def value(source):
+        return sum(channel.step(f"^^{w}$"[i - 2 : i], f"^^{w}$"[i]) for w in source.split(" ") for i in range(2, len(w) + 3))
+
+    for _ in range(200):
+        text = "".join(rng.choice("fozleang0@- ") * rng.choice((1, 1, 2, 3)) for _ in range(rng.randint(1, 7)))
+        lists = [channel.sources(c, len(list(g))) for c, g in groupby(text)]
+        best = max(sum(c for _, c in x) + value("".join(y for y, _ in x)) for x in product(*lists))
+        got = channel.decode(text)
+        costs = [sum(c for _, c in x) for x in product(*lists) if "".join(y for y, _ in x) == got]
+        assert abs(max(costs) + value(got) - best) < 1e-9
+
+
+def test_long_texts_teach_and_are_scored(spark):
+    """Labelled texts of over 60,000 bytes are learnt from like others."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeilnorst") for _ in range(rng.randint(5, 9)))
+    docs = [(i, " ".join([word() for _ in range(300)] * 40 + ["fozzle"] * (i % 2) * 3)) for i in range(80)]
+    assert min(len(t) for _, t in docs) > 60_000
+    labels = [(i, 1, i % 2) for i in range(80)]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, "toxic", F.lit(True))
+    assert "fozzle" in model[3]
+    assert {(r.doc_id % 2 == 1) == (r.score >= 0.5) for r in toxicity.score_toxicity(docs, model).collect()} == {True}
+
+
 def test_drop_toxic_keeps_columns(spark, labelled):
     docs, labels = labelled
     wide = docs.withColumn("score", F.lit(9)).withColumn("row", F.lit(1))

@@ -122,6 +122,28 @@ def test_near_duplicates_match_brute_force(docs, monkeypatch):
     assert got[5][1] == got[6][1] == 1 and got[15][1] == 14 and got[13] == (0, 13, True)
 
 
+def test_repeated_ids_go_by_their_texts(spark):
+    """Rows of one id with unlike texts keep their own links; no row is lost."""
+    prose = lambda x, *more: " ".join([f"{x}{i}" for i in range(40)] + list(more))
+    rows = [(1, prose("a")), (2, prose("a", "one")), (2, prose("x")), (3, prose("x", "two")), (7, prose("u")), (7, prose("a", "three")), (9, None), (9, prose("x", "four")), (None, prose("a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept or False, r.n_shingles) for r in near_dedup.near_duplicates(docs, width=4).collect())
+    assert got == sorted([(1, 1, True, 37), (2, 1, False, 38), (2, 2, True, 37), (3, 2, False, 38), (7, 7, True, 37), (7, 1, False, 38), (9, 9, True, 0), (9, 2, False, 38), (0, 0, False, 37)])
+    kept = {(r.doc_id, r.text) for r in near_dedup.keep_one(docs.unionByName(docs.where("doc_id = 1")), width=4).collect()}
+    assert kept == {rows[0], rows[2], rows[4], rows[6], rows[8]}
+    assert near_dedup.keep_one(docs.unionByName(docs.where("doc_id = 1")), width=4).count() == 5
+
+
+def test_popular_hubs_are_spread(spark, monkeypatch):
+    """Many near copies and exact copies of one text, texts without words, all with small spreads."""
+    monkeypatch.setattr(near_dedup, "SPREAD", 3)
+    monkeypatch.setattr(near_dedup, "PIECE", 4)
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, text if i % 3 else f"{text} n{i}") for i in range(60)] + [(100 + i, [None, "", " "][i % 3]) for i in range(30)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 90 and all(r.component_id == (0 if r.doc_id < 60 else r.doc_id) for r in got)
+
+
 def test_keep_one(docs):
     rows = near_dedup.keep_one(docs, width=4).collect()
     ids = [r.doc_id for r in rows]

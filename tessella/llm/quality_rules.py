@@ -21,27 +21,42 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _window(words: Column, i: Column) -> Column:
+    return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+
+
+def _twins(sorted_items: Column, same) -> Column:
+    """Items that have an equal neighbour."""
+    beside = lambda x, k: F.coalesce(same(F.get(sorted_items, k), x), F.lit(False))
+    return F.filter(sorted_items, lambda x, k: beside(x, k + 1) | ((k > 0) & beside(x, F.greatest(k - 1, F.lit(0)))))
+
+
 def _repeated_words(words: Column) -> Column:
     """Words that lie in a 3-word window which the text has twice or more.
 
     Each window is a 64-bit number: hash bits above, its place below in as many bits as the text needs. Sorted,
-    equal windows are neighbours; the places of those, sorted again, are spans of three whose union is counted.
+    windows with equal hash bits are neighbours; of those, few in most texts, the words themselves are sorted and
+    compared, so the count is exact however few hash bits a very long text leaves. The places of equal windows, sorted
+    again, are spans of three whose union is counted.
     """
     bits = F.length(F.bin(F.size(words)))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    window = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-    packed = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: window(i).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
+    packed = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: _window(words, i).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
 
-    def starts(p: Column) -> Column:
+    def maybe(p: Column) -> Column:
         high = lambda v: F.bitwise_not(mask).bitwiseAND(v)
-        twin = lambda x, k: (F.coalesce(high(F.get(p, k + 1)) == high(x), F.lit(False))) | F.coalesce((k > 0) & (high(F.get(p, F.greatest(k - 1, F.lit(0)))) == high(x)), F.lit(False))
-        return F.sort_array(F.transform(F.filter(p, twin), lambda x: x.bitwiseAND(mask)))
+        spelled = lambda i: F.struct(F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"), i.alias("at"))
+        return F.sort_array(F.transform(_twins(p, lambda x, y: high(x) == high(y)), lambda x: spelled(x.bitwiseAND(mask).cast("int"))))
+
+    def starts(s: Column) -> Column:
+        same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+        return F.sort_array(F.transform(_twins(s, same), lambda x: x["at"]))
 
     def cover(s: Column) -> Column:
-        start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-        return F.aggregate(s, start, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n")), lambda a: a["n"])
+        start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
+        return F.aggregate(s, start, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n")), lambda a: a["n"])
 
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(cover(_let(packed, starts)))
+    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(cover(_let(_let(packed, maybe), starts)))
 
 
 def measures(docs: DataFrame) -> DataFrame:

@@ -178,6 +178,64 @@ def test_quality_measures(docs):
         assert got[d] == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover)), d
 
 
+def test_repeated_words_are_exact_whatever_the_hash(spark, docs, monkeypatch):
+    """Windows whose hash bits collide, as in texts of millions of words, are told apart by their words."""
+    want = {r.doc_id: r.n_repeat_words for r in quality_rules.measures(docs).collect()}
+    monkeypatch.setattr(quality_rules, "_window", lambda words, i: F.pmod(F.xxhash64(F.get(words, i)), F.lit(3)) * F.lit(1 << 61))
+    assert {r.doc_id: r.n_repeat_words for r in quality_rules.measures(docs).collect()} == want
+
+
+def test_verdicts_match_brute_force(spark):
+    """Ladders, gains, exact bounds, fixed sequences and the choice of cutoffs, one by one in Python."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(8000):
+        good = rng.random() < 0.8
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(45, 90))]
+        w = [x + ("#" if rng.random() < (0.01 if good else 0.3) else "") + ("!" if rng.random() < (0.02 if good else 0.2) else "") for x in w]
+        w = [x.upper() if rng.random() < (0.02 if good else 0.1) else x for x in w]
+        rows.append((i, " ".join(w), rng.choice(["en", "en", "en", "de"]), int(good)))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows if r[0] % 10], "doc_id long, quality int")
+    measured = quality_rules.materialize(quality_rules.measures(docs))
+    names = list(quality_rules.rules())
+    data = {r.doc_id: r for r in measured.select("doc_id", "lang", quality_rules.base_failed().alias("failed"), *[v.alias(n) for n, v in quality_rules.rules().items()]).collect()}
+    quality = {r[0]: r[3] for r in rows if r[0] % 10}
+    use = [(d, data[d]) for d in sorted(quality) if not data[d].failed]
+    held = {d: zlib.crc32(str(d).encode()) % 2 == 1 for d, _ in use}
+    strata = {r.lang for _, r in use}
+    a, delta = quality_rules.MAX_FALSE_REJECTION / len(names), quality_rules.CONFIDENCE_ERROR / (len(names) * len(strata))
+    cdf = lambda k, n: sum(math.comb(n, j) * a**j * (1 - a) ** (n - j) for j in range(k + 1)) if k <= n * a else 1.0
+    cuts = {}
+    for name in names:
+        def quantiles(label, at):
+            v = sorted(r[name] for d, r in use if not held[d] and quality[d] == label)
+            return [v[max(0, math.ceil(q * len(v)) - 1)] for q in at]
+
+        ladder = sorted({*quantiles(0, quality_rules.LADDER), *quantiles(1, quality_rules.GOOD_LADDER)})
+        for lang in strata:
+            values = lambda h, y: [r[name] for d, r in use if r.lang == lang and held[d] == h and quality[d] == y]
+            hg, lg, lb = values(True, 1), values(False, 1), values(False, 0)
+            passed = []
+            for c in reversed(ladder):
+                k = sum(v > c for v in hg)
+                if cdf(k, len(hg)) > delta:
+                    break
+                gain = sum(v > c for v in lb) / len(lb) - quality_rules.GOOD_COST * sum(v > c for v in lg) / len(lg)
+                if gain > 0:
+                    passed.append((c, gain))
+            if passed:
+                top = max(g for _, g in passed)
+                cuts[lang, name] = max(c for c, g in passed if g >= top - quality_rules.SLACK)
+    chosen = {(r.stratum, r.rule): r.cutoff for r in quality_rules.cutoffs(measured, labels).collect()}
+    assert chosen == cuts and len(cuts) >= 3
+    verdict = {r.doc_id: r.kept for r in quality_rules.judge(measured, quality_rules.cutoffs(measured, labels)).collect()}
+    assert verdict == {d: not r.failed and not any(r[n] > cuts.get((r.lang, n), math.inf) for n in names) for d, r in data.items()}
+    assert 0 < sum(verdict.values()) < 8000 - sum(r.failed for r in data.values())
+
+
 def test_binomial_and_certified_cutoffs(spark):
     cdf = lambda k, n, p: sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
     rows = spark.createDataFrame([(0, 300), (3, 900), (20, 3000)], "k long, n long").select("k", "n", quality_rules.binomial_cdf(F.col("k"), F.col("n"), 0.01).alias("p")).collect()

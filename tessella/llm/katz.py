@@ -1,4 +1,4 @@
-"""Katz backoff bigram model: Good-Turing discounts, exactly normalised backoff weights, scored for every token."""
+"""Katz backoff model of any order: Good-Turing discounts, exactly normalised backoff weights, scored for every token."""
 
 from __future__ import annotations
 
@@ -19,13 +19,21 @@ from tessella.sources.shared import materialize
 #: Counts up to K get Good-Turing discounts; larger ones give up SPARE of a count, so that every context leaves mass
 #: for words not seen after it.
 K, SPARE = 5, 0.01
+#: Order of the model, unless told otherwise.
+ORDER = 3
 #: Tokens in a chunk of documents, and tokens for each partition of the tables.
 CHUNK_TOKENS, PART_TOKENS = 1 << 20, 1 << 20
 END, START = (int(x) for x in mix(np.array([101, 202], dtype=U)))
-ONE, TWO = 1, 2
+STEP = U(0xA24BAED4963EE407)
 CHUNK_SCHEMA = "chunk long, doc_ids array<long>, held array<boolean>, bounds array<long>, n_tokens long, n_train long, ids binary, vocab binary"
-BLOCK_SCHEMA = "slot long, chunk long, keys binary, counts binary"
-ANSWER_SCHEMA = "kind int, chunk long, slot long, counts binary, stats array<long>"
+#: kind 0: a chunk, with what it knows of its n-grams so far; n: an answer, or keys and counts, of n-grams; -n: counts of counts.
+ROWS_SCHEMA = f"kind int, slot long, {CHUNK_SCHEMA}, known array<binary>, keys binary, counts binary, stats array<long>"
+ROWS = pa.schema(
+    [("kind", pa.int32()), ("slot", pa.int64()), ("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("bounds", pa.list_(pa.int64()))]
+    + [("n_tokens", pa.int64()), ("n_train", pa.int64()), ("ids", pa.binary()), ("vocab", pa.binary()), ("known", pa.list_(pa.binary())), ("keys", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))]
+)
+#: Slots of one partition: n-grams of each order have their own.
+LEVELS, TABLE = 16, 100
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:
@@ -67,71 +75,123 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
 
 
 class Chunk:
-    """A chunk unpacked: tokens, the tokens before them, and its distinct bigrams."""
+    """A chunk unpacked: its distinct n-grams of every order up to ``order``, by number. ``of[n]`` gives each token the n-gram
+    that ends there (-1 where the text is too short for one; the start of a text counts as a word of contexts), ``left[n]`` and
+    ``suffix[n]`` each n-gram's first and last n - 1 words, and ``keys[n]`` its hash."""
 
-    def __init__(self, row: dict):
-        self.row = row
+    def __init__(self, row: dict, order: int):
+        self.row, self.order = row, order
         self.ids = unpack(row["ids"], np.int32).astype(np.int64)
         self.vocab = unpack_sorted(row["vocab"])
         self.bounds = np.array(row["bounds"], dtype=np.int64)
         self.held = np.array(row["held"], dtype=bool)
         self.train = np.repeat(~self.held, np.diff(self.bounds))
-        self.context = np.empty_like(self.ids)
-        self.context[1:] = self.ids[:-1]
-        self.context[self.bounds[:-1]] = len(self.vocab)
+        size, n = len(self.vocab), len(self.ids)
+        place = np.arange(n) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
         self.names = np.append(self.vocab, U(START))
-        codes, self.pair = np.unique(self.context * (len(self.vocab) + 1) + self.ids, return_inverse=True)
-        self.left, self.right = np.divmod(codes, len(self.vocab) + 1)
-        self.pairs = mix(self.names[self.left] * U(0xA24BAED4963EE407) + self.vocab[self.right])
-
-    def counts(self, kind: int) -> np.ndarray:
-        of, n = (self.ids, len(self.vocab)) if kind == ONE else (self.pair, len(self.pairs))
-        return np.bincount(of, weights=self.train, minlength=n).astype(np.uint32)
-
-    def keys(self, kind: int) -> np.ndarray:
-        return self.vocab if kind == ONE else self.pairs
+        self.of, self.keys, self.left, self.right, self.suffix = ({} for _ in range(5))
+        self.of[1], self.keys[1] = self.ids, self.vocab
+        for k in range(2, order + 1):
+            where = np.flatnonzero(place >= k - 2)
+            if k == 2:
+                prefix, below = np.full(n, size), self.names
+                prefix[1:] = self.ids[:-1]
+                prefix[self.bounds[:-1]] = size
+            else:
+                prefix, below = self.of[k - 1][where - 1], self.keys[k - 1]
+            codes, first, of = np.unique(prefix * (size + 1) + self.ids[where], return_index=True, return_inverse=True)
+            self.of[k] = np.full(n, -1, dtype=np.int64)
+            self.of[k][where] = of
+            self.left[k], self.right[k] = np.divmod(codes, size + 1)
+            self.suffix[k] = self.of[k - 1][where][first]
+            self.keys[k] = mix(below[self.left[k]] * STEP + self.vocab[self.right[k]])
+
+    def counts(self, k: int) -> np.ndarray:
+        """Twice the training count of each n-gram, plus 1 where held-out texts have it."""
+        of, there = self.of[k], self.of[k] >= 0
+        count = lambda w: np.bincount(of[there], weights=w[there], minlength=len(self.keys[k]))
+        return (2 * count(self.train) + (count(~self.train) > 0)).astype(np.uint32)
+
+    def guess(self, k: int, known: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(what is known of each n-gram from its two (n-1)-grams, which ones must be asked for). An n-gram with a part that
+        training doesn't have isn't there; one with a part that stands once in training and never in held-out texts
+        is that one place, so its count is 1 and no other chunk has it. Both are exact."""
+        ends = np.stack((known[k - 1][self.left[k]], known[k - 1][self.suffix[k]]))
+        absent = (ends >> 2 == 0).any(axis=0)
+        single = ~absent & (ends >> 1 == 2).any(axis=0)
+        return np.where(single, 5, 0), np.flatnonzero(~absent & ~single)
+
+    def blocks(self, k: int, which: np.ndarray, parts: int) -> list[dict]:
+        keys, counts = self.keys[k][which], self.counts(k)[which]
+        order, bounds = deal(keys, parts)
+        out = []
+        for p in np.flatnonzero(np.diff(bounds)):
+            at = order[bounds[p] : bounds[p + 1]]
+            out.append({"kind": k, "slot": int(LEVELS * p + k), "chunk": self.row["chunk"], "keys": pack_sorted(keys[at]), "counts": pack(counts[at])})
+        return out
 
 
-def count_blocks(stored: DataFrame, parts: int) -> DataFrame:
-    """Chunks -> one block of keys and training counts for each partition of both tables."""
+def first_blocks(stored: DataFrame, order: int, parts: int) -> DataFrame:
+    """Chunks -> blocks of keys and counts of words and bigrams for each partition of their tables."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                c = Chunk(batch.slice(i, 1).to_pylist()[0])
-                out = []
-                for kind in (ONE, TWO):
-                    keys, counts = c.keys(kind), c.counts(kind)
-                    order, bounds = deal(keys, parts)
-                    for p in np.flatnonzero(np.diff(bounds)):
-                        at = order[bounds[p] : bounds[p + 1]]
-                        out.append((int(2 * p + kind - 1), c.row["chunk"], pack_sorted(keys[at]), pack(counts[at])))
-                yield pa.RecordBatch.from_pylist([dict(zip(("slot", "chunk", "keys", "counts"), r)) for r in out], schema=pa.schema([("slot", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
+                c = Chunk(batch.slice(i, 1).to_pylist()[0], min(order, 2))
+                yield pa.RecordBatch.from_pylist([r for k in c.keys for r in c.blocks(k, np.arange(len(c.keys[k])), parts)], schema=ROWS)
+
+    return stored.mapInArrow(rows, ROWS_SCHEMA)
+
+
+def told(table: pa.Table, order: int, upto: int, parts: int) -> tuple[Chunk, dict[int, np.ndarray]]:
+    """A chunk with what it knows of its n-grams of each order up to ``upto``: 4 * training count, plus 2 where held-out texts have it,
+    plus 1 in the one chunk that stands for the n-gram. ``table`` holds the chunk and the answers that came last."""
+    rows = table.to_pylist()
+    state = next(r for r in rows if r["kind"] == 0)
+    have = [unpack(v, np.int64) for v in state["known"] or []]
+    c = Chunk(state, order)
+    known = dict(enumerate(have, 1))
+    for k in range(len(have) + 1, upto + 1):
+        value, asked = (np.zeros(len(c.keys[k]), np.int64), np.arange(len(c.keys[k]))) if k < 3 else c.guess(k, known)
+        deals, bounds = deal(c.keys[k][asked], parts)
+        for r in rows:
+            if r["kind"] == k:
+                p = r["slot"] // LEVELS
+                value[asked[deals[bounds[p] : bounds[p + 1]]]] = unpack(r["counts"], np.int64)
+        known[k] = value
+    return c, known
 
-    return stored.mapInArrow(rows, BLOCK_SCHEMA)
 
+def next_blocks(k: int, parts: int):
+    """A chunk with all answers of lower orders -> itself with what it knows, blocks of the n-grams it must ask for, and how
+    many single ones it holds."""
+
+    def of(table: pa.Table) -> pa.Table:
+        c, known = told(table, k, k - 1, parts)
+        value, asked = c.guess(k, known)
+        state = c.row | {"kind": 0, "known": [pack(known[n]) for n in range(1, k)]}
+        singles = {"kind": -k, "stats": [0, int((value == 5).sum()), *[0] * (K + 1)]}
+        return pa.Table.from_pylist([state, singles, *c.blocks(k, asked, parts)], schema=ROWS)
 
-ANSWERS = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("slot", pa.int64()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))])
+    return of
 
 
 def total_counts(table: pa.Table) -> pa.Table:
-    """One partition's blocks -> for each block the total counts of its keys, and a row with counts of counts.
-
-    Values are 2 * total, plus 1 in the one block that stands for the key (its first with a training count).
-    """
+    """One partition's blocks -> for each block the totals of its keys, a row with counts of counts, and the partition of the
+    table itself: keys with their training counts."""
     rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-    slot = rows[0]["slot"]
+    slot, k = rows[0]["slot"], rows[0]["kind"]
     sums = Sums([unpack_sorted(r["keys"]) for r in rows])
-    counts = [unpack(r["counts"], np.uint32) for r in rows]
-    total = sums.total(counts).astype(np.int64)
+    counts = np.concatenate([unpack(r["counts"], np.uint32) for r in rows]).astype(np.int64)
+    total, asked = sums.total([counts >> 1]).astype(np.int64), sums.total([counts & 1]) > 0
     mine = np.zeros(len(sums.of), dtype=np.int64)
-    seen = np.flatnonzero(np.concatenate(counts) > 0)
+    seen = np.flatnonzero(counts > 1)
     mine[seen[np.unique(sums.of[seen], return_index=True)[1]]] = 1
-    values = 2 * total[sums.of] + mine
-    out = [{"kind": slot % 2 + 1, "chunk": r["chunk"], "slot": slot, "counts": pack(values[a:b]), "stats": None} for r, a, b in zip(rows, sums.bounds[:-1], sums.bounds[1:])]
-    stats = np.bincount(np.minimum(total, K + 2), minlength=K + 3).tolist()
-    out.append({"kind": -(slot % 2 + 1), "chunk": None, "slot": slot, "counts": None, "stats": stats})
-    return pa.Table.from_pylist(out, schema=ANSWERS)
+    values = (4 * total + 2 * asked)[sums.of] + mine
+    out = [{"kind": k, "chunk": r["chunk"], "slot": slot, "counts": pack(values[a:b])} for r, a, b in zip(rows, sums.bounds[:-1], sums.bounds[1:])]
+    out.append({"kind": -k, "slot": slot, "stats": np.bincount(np.minimum(total, K + 2), minlength=K + 3).tolist()})
+    out.append({"kind": TABLE + k, "slot": slot, "keys": pack_sorted(sums.keys[total > 0]), "counts": pack(total[total > 0])})
+    return pa.Table.from_pylist(out, schema=ROWS)
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -157,12 +217,11 @@ def given_up(types: list, d: np.ndarray):
 
 @dataclass
 class Model:
-    """What all tokens share: N, V, discounts of both tables, counts of discounted words, training documents."""
+    """What all tokens share: N, V, the discounts of each order, counts of counted words, training documents."""
 
     n: int
     v: int
-    one: np.ndarray
-    two: np.ndarray
+    discounts: dict[int, np.ndarray]
     counted: list[int]
     docs: int
 
@@ -171,23 +230,12 @@ class Model:
         if self.n == 0:
             return np.ones(len(c))
         over = self.v - sum(self.counted[1 : K + 1])
-        return np.where(c > 0, kept(c, self.one), given_up([*self.counted[: K + 1], over], self.one)) / self.n
+        return np.where(c > 0, kept(c, self.discounts[1]), given_up([*self.counted[: K + 1], over], self.discounts[1])) / self.n
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
 
-def answers_of(rows: list[dict], kind: int, keys: np.ndarray, parts: int) -> np.ndarray:
-    """A chunk's answers, put back in the order of its keys."""
-    order, bounds = deal(keys, parts)
-    out = np.zeros(len(keys), dtype=np.int64)
-    for r in rows:
-        if r["kind"] == kind:
-            p = r["slot"] // 2
-            out[order[bounds[p] : bounds[p + 1]]] = unpack(r["counts"], np.int64)
-    return out
-
-
 PARTIAL_SCHEMA = "kind int, chunk long, slot long, keys binary, values binary, few binary, docs binary, contexts binary, doc_ids array<long>, held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>"
 PARTIALS = pa.schema(
     [("kind", pa.int32()), ("chunk", pa.int64()), ("slot", pa.int64())] + [(x, pa.binary()) for x in ("keys", "values", "few", "docs", "contexts")]
@@ -195,47 +243,65 @@ PARTIALS = pa.schema(
 )
 
 
-def score_seen(model: Model, parts: int):
+def score_seen(model: Model, order: int, parts: int):
     """A chunk with its answers -> documents' scores without backoff weights, which contexts still owe theirs, and what
-    its bigrams add to each context's sums."""
+    its n-grams add to the sums of the contexts that held-out texts have.
+
+    Each token goes down from the highest order: an n-gram with a count gives its discounted share of its context;
+    without one the context, if training has it, owes its weight, and the next lower order decides.
+    """
 
     def of(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        c = Chunk(next(r for r in rows if r["kind"] == 0))
-        one = answers_of(rows, ONE, c.vocab, parts) >> 1
-        two = answers_of(rows, TWO, c.pairs, parts)
-        mine, two = (two & 1).astype(bool), two >> 1
-        p1 = model.unigram(one)
-        before = np.append(one, model.docs)[c.left]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = np.log10(kept(two, model.two) / before)
-        score = np.where(two > 0, seen, np.log10(p1[c.right]))
-        owes = (two == 0) & (before > 0)
+        c, known = told(table, order, order, parts)
+        counts = {k: v >> 2 for k, v in known.items()}
+        p1 = model.unigram(counts[1])
+        direct, before = {1: p1}, {}
+        score, open_ = np.zeros(len(c.ids)), np.ones(len(c.ids), dtype=bool)
+        owing, contexts, adds = [], [], []
+        for k in range(2, order + 1):
+            before[k] = np.append(counts[1], model.docs)[c.left[k]] if k == 2 else counts[k - 1][c.left[k]]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                direct[k] = np.where(counts[k] > 0, kept(counts[k], model.discounts[k]) / before[k], 0.0)
+        for k in range(order, 1, -1):
+            at = np.flatnonzero(open_ & (c.of[k] >= 0))
+            kind = c.of[k][at]
+            seen = counts[k][kind] > 0
+            score[at[seen]] = np.log10(direct[k][kind[seen]])
+            open_[at[seen]] = False
+            owes = ~seen & (before[k][kind] > 0)
+            owing.append(at[owes])
+            below = c.names if k == 2 else c.keys[k - 1]
+            contexts.append(below[c.left[k][kind[owes]]])
+            # this chunk's own n-grams whose context is asked for
+            asked = np.append(known[1], 2) if k == 2 else known[k - 1]
+            mine = np.flatnonzero((known[k] & 1 == 1) & (asked[c.left[k]] >> 1 & 1 == 1))
+            adds.append((below[c.left[k][mine]], counts[k][mine], direct[k - 1][c.suffix[k][mine]], before[k][mine], np.full(len(mine), k)))
+        score[open_] = np.log10(p1[c.ids[open_]])
         doc = np.repeat(np.arange(len(c.held)), np.diff(c.bounds))
         sums = lambda v: np.bincount(doc, weights=v, minlength=len(c.held))
-        # contexts that are owed for, and those that this chunk's own bigrams add to
-        adds = np.flatnonzero(mine)
-        owing = np.flatnonzero(owes[c.pair])
-        asked = np.unique(c.context[owing])
-        used = np.union1d(c.left[adds], asked)
-        place = np.zeros(len(c.names), dtype=np.int64)
-        place[used] = np.arange(len(used))
-        at, after = place[c.left[adds]], one[c.right[adds]]
-        count_of = lambda counts, r: np.bincount(at, weights=(counts == r) if r <= K else (counts > K), minlength=len(used))
-        total = np.bincount(at, weights=after, minlength=len(used)).astype(np.int64)
-        few = np.stack([count_of(x, r) for x in (two[adds], after) for r in range(1, K + 2)] + [np.append(one, model.docs)[used], np.isin(used, asked)]).astype(np.int32)
-        order, bounds = deal(c.names[used], parts)
+        owing, contexts = (np.concatenate(x) if x else np.zeros(0, U) for x in (owing, contexts))
+        key, count, lower, size, level = (np.concatenate(x) for x in zip(*adds)) if adds else [np.zeros(0, U)] * 5
+        ask, rank = np.unique(contexts, return_inverse=True)
+        used = np.unique(np.concatenate((key, ask)))
+        at = np.searchsorted(used, key)
+        classes = [np.bincount(at, weights=(count == r) if r <= K else (count > K), minlength=len(used)) for r in range(1, K + 2)]
+        most = lambda v: np.maximum.reduceat(v[order_], starts) if len(at) else np.zeros(0)
+        order_ = np.argsort(at, kind="stable")
+        starts = np.flatnonzero(np.diff(at[order_], prepend=-1))
+        about = np.zeros((2, len(used)))
+        about[:, at[order_][starts]] = most(size), most(level)
+        few = np.stack([*classes, *about, np.isin(used, ask)]).astype(np.int32)
+        mass = np.bincount(at, weights=lower, minlength=len(used))
+        deals, bounds = deal(used, parts)
         out = []
         for p in np.flatnonzero(np.diff(bounds)):
-            i = order[bounds[p] : bounds[p + 1]]
-            out.append({"kind": 1, "chunk": c.row["chunk"], "slot": int(p), "keys": pack_sorted(c.names[used][i]), "values": pack(total[i]), "few": pack(few[:, i].reshape(-1))})
-        rank = np.zeros(len(c.names), dtype=np.int64)
-        rank[asked[np.argsort(c.names[asked])]] = np.arange(len(asked))
-        known = one > 0
+            i = deals[bounds[p] : bounds[p + 1]]
+            out.append({"kind": 1, "chunk": c.row["chunk"], "slot": int(p), "keys": pack_sorted(used[i]), "values": pack(mass[i]), "few": pack(few[:, i].reshape(-1))})
+        known_words = (counts[1] > 0)[c.ids]
         out.append({
-            "kind": 0, "chunk": c.row["chunk"], "keys": pack_sorted(np.sort(c.names[asked])), "docs": pack(doc[owing].astype(np.int32)),
-            "contexts": pack(rank[c.context[owing]].astype(np.int32)), "doc_ids": c.row["doc_ids"], "held": c.row["held"],
-            "n_tokens": np.diff(c.bounds).tolist(), "n_known": sums(known[c.ids]).astype(np.int64).tolist(), "base": sums(model.base(one)[c.ids]).tolist(), "score": sums(score[c.pair]).tolist(),
+            "kind": 0, "chunk": c.row["chunk"], "keys": pack_sorted(ask), "docs": pack(doc[owing.astype(np.int64)].astype(np.int32)),
+            "contexts": pack(rank.astype(np.int32)), "doc_ids": c.row["doc_ids"], "held": c.row["held"],
+            "n_tokens": np.diff(c.bounds).tolist(), "n_known": sums(known_words).astype(np.int64).tolist(), "base": sums(model.base(counts[1])[c.ids]).tolist(), "score": sums(score).tolist(),
         })
         return pa.Table.from_pylist(out, schema=PARTIALS)
 
@@ -243,19 +309,24 @@ def score_seen(model: Model, parts: int):
 
 
 def backoff_weights(model: Model):
-    """One partition's contexts -> log10 of each one's weight: left-over mass / unigram mass of the words not seen
-    after it, so that the probabilities after a context add up to one."""
+    """One partition's contexts -> log10 of each one's weight: left-over mass / mass that the lower order gives to the words
+    not seen after it, so that the probabilities after a context add up to one. The answers, and the table's partition."""
 
     def of(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
         sums = Sums([unpack_sorted(r["keys"]) for r in rows])
-        few = [unpack(r["few"], np.int32).reshape(2 * K + 4, -1) for r in rows]
-        seen, words = ([0, *(sums.total([f[i + r] for f in few]) for r in range(K + 1))] for i in (0, K + 1))
-        mass = (sums.total([unpack(r["values"], np.int64) for r in rows]) - given_up(words, model.one)) / model.n
-        count = np.zeros(len(sums.keys))
-        count[sums.of] = np.concatenate([f[-2] for f in few])
-        weight = np.log10(given_up(seen, model.two) / count / np.maximum(1 - mass, 1e-300))
+        few = [unpack(r["few"], np.int32).reshape(K + 4, -1) for r in rows]
+        seen = [0, *(sums.total([f[r] for f in few]) for r in range(K + 1))]
+        mass = sums.total([unpack(r["values"], np.float64) for r in rows])
+        count, level = np.zeros(len(sums.keys)), np.zeros(len(sums.keys))
+        for out, i in ((count, K + 1), (level, K + 2)):
+            np.maximum.at(out, sums.of, np.concatenate([f[i] for f in few]))
+        left = np.zeros(len(sums.keys))
+        for k, d in model.discounts.items():
+            left = np.where(level == k, given_up(seen, d), left)
+        weight = np.log10(left / count / np.maximum(1 - mass, 1e-300))
         out = [{"kind": 1, "chunk": r["chunk"], "slot": r["slot"], "values": pack(v[f[-1] > 0])} for r, f, v in zip(rows, few, sums.answer(weight))]
+        out.append({"kind": TABLE, "slot": rows[0]["slot"], "keys": pack_sorted(sums.keys), "values": pack(weight)})
         return pa.Table.from_pylist(out, schema=PARTIALS)
 
     return of
@@ -280,24 +351,36 @@ def finish(parts: int):
     return of
 
 
-def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
+def katz_scores(docs: DataFrame, held: Column, order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     The model learns from all rows where ``held`` is false. Empty and null texts are the end token alone; repeated
     rows count as often as they stand there. Without training rows every probability is 1 and scores are 0.
+
+    Orders are counted from the lowest up. Tables are partitioned by a hash of the n-gram: keys with their counts, and
+    contexts that held-out texts have with their weights, are written to the shared folder beside the answers to the
+    chunks; n-grams that stand in one place only are kept with their chunk (see Chunk.guess()).
     """
     stored = materialize(chunk_documents(docs.select("doc_id", "text", held.alias("held"))))
     totals = stored.agg(F.sum("n_tokens").alias("n"), F.sum("n_train").alias("train"), F.sum(F.size(F.filter("held", lambda h: ~h))).alias("docs")).first()
     parts = max(4, (totals.n or 0) // PART_TOKENS)
-    counted = materialize(count_blocks(stored, parts).groupBy("slot").applyInArrow(total_counts, ANSWER_SCHEMA))
-    summed = {r.kind: r.stats for r in counted.where("kind < 0").groupBy("kind").agg(F.array(*[F.sum(F.get("stats", F.lit(i))) for i in range(K + 3)]).alias("stats")).collect()}
-    ones, twos = summed.get(-ONE, [0] * (K + 3)), summed.get(-TWO, [0] * (K + 3))
-    model = Model(totals.train or 0, sum(ones[1:]), discounts(ones), discounts(twos), ones, totals.docs or 0)
-    columns = [f"{f.split()[0]}" for f in CHUNK_SCHEMA.split(", ")]
-    told = stored.select(F.lit(0).alias("kind"), *columns).unionByName(counted.where("kind > 0").select("kind", "chunk", "slot", "counts"), allowMissingColumns=True)
-    partial = materialize(told.groupBy("chunk").applyInArrow(score_seen(model, parts), PARTIAL_SCHEMA))
-    weights = partial.where("kind = 1").groupBy("slot").applyInArrow(backoff_weights(model), PARTIAL_SCHEMA)
-    done = partial.where("kind = 0").unionByName(weights).groupBy("chunk").applyInArrow(finish(parts), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    counted = materialize(first_blocks(stored, order, parts).groupBy("slot").applyInArrow(total_counts, ROWS_SCHEMA))
+    found, stats = stored.select(F.lit(0).alias("kind"), "*").unionByName(counted.where("chunk is not null"), allowMissingColumns=True), [counted]
+    for k in range(3, order + 1):
+        asked = materialize(found.groupBy("chunk").applyInArrow(next_blocks(k, parts), ROWS_SCHEMA))
+        counted = materialize(asked.where("kind > 0").groupBy("slot").applyInArrow(total_counts, ROWS_SCHEMA))
+        found = asked.where("kind = 0").unionByName(counted.where("chunk is not null"))
+        stats += [asked, counted]
+    summed: dict[int, list[int]] = {}
+    for table in stats:
+        for r in table.where("kind < 0").groupBy("kind").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"n{i}") for i in range(K + 3)]).collect():
+            summed[-r.kind] = [x + y for x, y in zip(summed.get(-r.kind, [0] * (K + 3)), r[1:])]
+    ones = summed.get(1, [0] * (K + 3))
+    model = Model(totals.train or 0, sum(ones[1:]), {k: discounts(summed.get(k, [0] * (K + 3))) for k in range(1, order + 1)}, ones, totals.docs or 0)
+    partial = materialize(found.groupBy("chunk").applyInArrow(score_seen(model, order, parts), PARTIAL_SCHEMA))
+    weights = materialize(partial.where("kind = 1").groupBy("slot").applyInArrow(backoff_weights(model), PARTIAL_SCHEMA))
+    answers = partial.where("kind = 0").unionByName(weights.where("kind = 1"))
+    done = answers.groupBy("chunk").applyInArrow(finish(parts), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

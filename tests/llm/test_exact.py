@@ -19,42 +19,59 @@ def docs(spark):
     return documents(spark).cache()
 
 
-def test_katz_matches_plain_python(docs, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz_matches_plain_python(docs, monkeypatch, order):
+    """A recursive model over dictionaries; every context's probabilities add up to one."""
     monkeypatch.setattr(katz, "CHUNK_TOKENS", 500)
     monkeypatch.setattr(katz, "PART_TOKENS", 500)
     held = F.coalesce(F.col("doc_id") % 5 == 1, F.lit(False))
     got = defaultdict(list)
-    for r in katz.katz_scores(docs, held).collect():
+    for r in katz.katz_scores(docs, held, order).collect():
         got[r.doc_id].append(r)
     low = lambda t: ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in words(t)] + [0]
     rows = [(d, low(t)) for d, t in collect(docs)]
     train = [w for d, w in rows if d is None or d % 5 != 1]
-    c1, c2, c0 = Counter(x for w in train for x in w), Counter(p for w in train for p in zip([1, *w], w)), Counter()
-    for (h, _), n in c2.items():
-        c0[h] += n
-    total, v = sum(c1.values()), len(c1)
-
-    def kept(counts):
-        n = Counter(counts.values())
+    grams = lambda w, k: [tuple([1, *w][i - k + 1 : i + 1]) for i in range(1, len(w) + 1) if i - k + 1 >= 0]
+    counts = {k: Counter((x,) if k == 1 else g for w in train for x, g in (zip(w, w) if k == 1 else ((None, g) for g in grams(w, k)))) for k in range(1, order + 1)}
+    size, after = Counter(), defaultdict(dict)
+    for k in range(2, order + 1):
+        for g, c in counts[k].items():
+            size[g[:-1]] += c
+            after[g[:-1]][g[-1]] = c
+    total, v = sum(counts[1].values()), len(counts[1])
+
+    def kept(c):
+        n = Counter(c.values())
         d = katz.discounts([n[r] for r in range(katz.K + 2)])
         return lambda c: d[c] * c if c <= katz.K else c - katz.SPARE
 
-    k1, k2 = kept(c1), kept(c2)
-    p1 = {w: k1(c) / total for w, c in c1.items()}
+    keep = {k: kept(counts[k]) for k in counts}
+    p1 = {g[0]: keep[1](c) / total for g, c in counts[1].items()}
     unknown = 1 - sum(p1.values())
-    after = defaultdict(list)
-    for (h, w), c in c2.items():
-        after[h].append((w, c))
-    weight = {h: sum(c - k2(c) for _, c in s) / c0[h] / (1 - sum(p1[w] for w, _ in s)) for h, s in after.items()}
-    for h, s in after.items():  # exactly normalised
-        seen = dict(s)
-        assert math.isclose(sum(k2(c) / c0[h] for c in seen.values()) + weight[h] * (unknown + sum(p for w, p in p1.items() if w not in seen)), 1, rel_tol=1e-9)
+    weights = {}
+
+    def p(h, w):
+        if not h:
+            return p1.get(w, unknown)
+        if h not in after:
+            return p(h[1:], w)
+        c = after[h].get(w)
+        return keep[len(h) + 1](c) / size[h] if c else weight(h) * p(h[1:], w)
+
+    def weight(h):
+        if h not in weights:
+            left = sum(c - keep[len(h) + 1](c) for c in after[h].values()) / size[h]
+            weights[h] = left / (1 - sum(p(h[1:], w) for w in after[h]))
+        return weights[h]
+
+    for h in list(after)[:: 40 if order > 2 else 3]:  # exactly normalised
+        assert math.isclose(sum(p(h, w) for w in p1) + p(h, "not a word"), 1, rel_tol=1e-9)
     for d, w in rows:
-        s = sum(math.log10(k2(c2[h, x]) / c0[h] if c2[h, x] else weight.get(h, 1) * p1.get(x, unknown)) for h, x in zip([1, *w], w))
-        base = sum(math.log10((c1[x] + 0.5) / (total + 0.5 * (v + 1))) for x in w)
+        s = sum(math.log10(p(tuple([1, *w][max(0, i - order + 1) : i]), w[i - 1])) for i in range(1, len(w) + 1))
+        base = sum(math.log10((counts[1][x,] + 0.5) / (total + 0.5 * (v + 1))) for x in w)
         r = got[d][0]
         assert math.isclose(r.score, s, rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r.base_score, base, rel_tol=1e-9)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in c1 for x in w), total)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum((x,) in counts[1] for x in w), total)
 
 
 def test_katz_without_rows(spark, docs):

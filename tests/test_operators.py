@@ -205,3 +205,14 @@ def test_entry_imports_without_the_llm_folder(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q); print(len(q))"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert out.returncode == 0 and int(out.stdout) > 80, out.stderr
+
+
+def test_stored_tables_can_be_discarded(spark, sf_dir):
+    from tessella.sources.shared import discard, materialize
+
+    one = materialize(spark.range(10).toDF("x"))
+    two = materialize(one.where("x > 3"))
+    discard(one, spark.read.parquet(f"{sf_dir}/region.parquet"))
+    assert two.count() == 6 and spark.read.parquet(f"{sf_dir}/region.parquet").count() == 5
+    with pytest.raises(Exception):
+        one.withColumn("y", F.col("x")).collect()

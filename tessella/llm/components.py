@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.sources.shared import materialize
+from tessella.sources.shared import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("far"))
         new = materialize(least.join(jump, "low", "left").select("node", "old", F.least("low", "far").alias("component")))
+        discard(labels)
         labels = new.select("node", "component")
         if new.where("old <> component").isEmpty():
+            discard(both)
             return labels

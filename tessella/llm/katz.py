@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessella.llm.blobs import Sums, deal, pack, pack_sorted, unpack, unpack_sorted
 from tessella.llm.fitting import fold
 from tessella.llm.tokens import U, Words, chunks, column_bytes, mix
-from tessella.sources.shared import materialize
+from tessella.sources.shared import discard, materialize
 
 #: Counts up to K get Good-Turing discounts; larger ones give up SPARE of a count, so that every context leaves mass
 #: for words not seen after it.
@@ -33,7 +33,7 @@ ROWS = pa.schema(
     + [("n_tokens", pa.int64()), ("n_train", pa.int64()), ("ids", pa.binary()), ("vocab", pa.binary()), ("known", pa.list_(pa.binary())), ("keys", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))]
 )
 #: Slots of one partition: n-grams of each order have their own.
-LEVELS, TABLE = 16, 100
+LEVELS = 16
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:
@@ -147,8 +147,8 @@ def told(table: pa.Table, order: int, upto: int, parts: int) -> tuple[Chunk, dic
     """A chunk with what it knows of its n-grams of each order up to ``upto``: 4 * training count, plus 2 where held-out texts have it,
     plus 1 in the one chunk that stands for the n-gram. ``table`` holds the chunk and the answers that came last."""
     rows = table.to_pylist()
-    state = next(r for r in rows if r["kind"] == 0)
-    have = [unpack(v, np.int64) for v in state["known"] or []]
+    state = next(r for r in rows if r["ids"] is not None)
+    have = next(([unpack(v, np.int64) for v in r["known"]] for r in rows if r["known"]), [])
     c = Chunk(state, order)
     known = dict(enumerate(have, 1))
     for k in range(len(have) + 1, upto + 1):
@@ -163,13 +163,13 @@ def told(table: pa.Table, order: int, upto: int, parts: int) -> tuple[Chunk, dic
 
 
 def next_blocks(k: int, parts: int):
-    """A chunk with all answers of lower orders -> itself with what it knows, blocks of the n-grams it must ask for, and how
-    many single ones it holds."""
+    """A chunk with all answers of lower orders -> what it knows of them, blocks of the n-grams it must ask for, and
+    how many single ones it holds."""
 
     def of(table: pa.Table) -> pa.Table:
         c, known = told(table, k, k - 1, parts)
         value, asked = c.guess(k, known)
-        state = c.row | {"kind": 0, "known": [pack(known[n]) for n in range(1, k)]}
+        state = {"kind": 0, "chunk": c.row["chunk"], "known": [pack(known[n]) for n in range(1, k)]}
         singles = {"kind": -k, "stats": [0, int((value == 5).sum()), *[0] * (K + 1)]}
         return pa.Table.from_pylist([state, singles, *c.blocks(k, asked, parts)], schema=ROWS)
 
@@ -177,8 +177,7 @@ def next_blocks(k: int, parts: int):
 
 
 def total_counts(table: pa.Table) -> pa.Table:
-    """One partition's blocks -> for each block the totals of its keys, a row with counts of counts, and the partition of the
-    table itself: keys with their training counts."""
+    """One partition's blocks -> for each block the totals of its keys, and a row with counts of counts."""
     rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
     slot, k = rows[0]["slot"], rows[0]["kind"]
     sums = Sums([unpack_sorted(r["keys"]) for r in rows])
@@ -190,7 +189,6 @@ def total_counts(table: pa.Table) -> pa.Table:
     values = (4 * total + 2 * asked)[sums.of] + mine
     out = [{"kind": k, "chunk": r["chunk"], "slot": slot, "counts": pack(values[a:b])} for r, a, b in zip(rows, sums.bounds[:-1], sums.bounds[1:])]
     out.append({"kind": -k, "slot": slot, "stats": np.bincount(np.minimum(total, K + 2), minlength=K + 3).tolist()})
-    out.append({"kind": TABLE + k, "slot": slot, "keys": pack_sorted(sums.keys[total > 0]), "counts": pack(total[total > 0])})
     return pa.Table.from_pylist(out, schema=ROWS)
 
 
@@ -310,7 +308,7 @@ def score_seen(model: Model, order: int, parts: int):
 
 def backoff_weights(model: Model):
     """One partition's contexts -> log10 of each one's weight: left-over mass / mass that the lower order gives to the words
-    not seen after it, so that the probabilities after a context add up to one. The answers, and the table's partition."""
+    not seen after it, so that the probabilities after a context add up to one."""
 
     def of(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
@@ -326,7 +324,6 @@ def backoff_weights(model: Model):
             left = np.where(level == k, given_up(seen, d), left)
         weight = np.log10(left / count / np.maximum(1 - mass, 1e-300))
         out = [{"kind": 1, "chunk": r["chunk"], "slot": r["slot"], "values": pack(v[f[-1] > 0])} for r, f, v in zip(rows, few, sums.answer(weight))]
-        out.append({"kind": TABLE, "slot": rows[0]["slot"], "keys": pack_sorted(sums.keys), "values": pack(weight)})
         return pa.Table.from_pylist(out, schema=PARTIALS)
 
     return of
@@ -357,27 +354,44 @@ def katz_scores(docs: DataFrame, held: Column, order: int = ORDER) -> DataFrame:
     The model learns from all rows where ``held`` is false. Empty and null texts are the end token alone; repeated
     rows count as often as they stand there. Without training rows every probability is 1 and scores are 0.
 
-    Orders are counted from the lowest up. Tables are partitioned by a hash of the n-gram: keys with their counts, and
-    contexts that held-out texts have with their weights, are written to the shared folder beside the answers to the
-    chunks; n-grams that stand in one place only are kept with their chunk (see Chunk.guess()).
+    Orders are counted from the lowest up. Counts are exchanged with tables partitioned by a hash of the n-gram, in the shared
+    folder; n-grams that stand in one place only are kept with their chunk (see Chunk.guess()). Tables go once what is
+    made from them is stored.
     """
     stored = materialize(chunk_documents(docs.select("doc_id", "text", held.alias("held"))))
     totals = stored.agg(F.sum("n_tokens").alias("n"), F.sum("n_train").alias("train"), F.sum(F.size(F.filter("held", lambda h: ~h))).alias("docs")).first()
     parts = max(4, (totals.n or 0) // PART_TOKENS)
-    counted = materialize(first_blocks(stored, order, parts).groupBy("slot").applyInArrow(total_counts, ROWS_SCHEMA))
-    found, stats = stored.select(F.lit(0).alias("kind"), "*").unionByName(counted.where("chunk is not null"), allowMissingColumns=True), [counted]
+    counted, known, stats = materialize(first_blocks(stored, order, parts).groupBy("slot").applyInArrow(total_counts, ROWS_SCHEMA)), None, []
+    chunk_rows = stored.select(F.lit(0).alias("kind"), "*")
+
+    def tell(*more: DataFrame) -> DataFrame:
+        """Everything that chunks are told, beside what they hold."""
+        out = chunk_rows
+        for x in more:
+            out = out.unionByName(x.where("kind >= 0 and chunk is not null"), allowMissingColumns=True)
+        return out
+
+    def counts_of_counts(table: DataFrame) -> None:
+        stats.extend(table.where("kind < 0").groupBy("kind").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"n{i}") for i in range(K + 3)]).collect())
+
+    counts_of_counts(counted)
     for k in range(3, order + 1):
+        found = tell(counted) if known is None else tell(known, counted)
         asked = materialize(found.groupBy("chunk").applyInArrow(next_blocks(k, parts), ROWS_SCHEMA))
-        counted = materialize(asked.where("kind > 0").groupBy("slot").applyInArrow(total_counts, ROWS_SCHEMA))
-        found = asked.where("kind = 0").unionByName(counted.where("chunk is not null"))
-        stats += [asked, counted]
+        counts_of_counts(asked)
+        again = materialize(asked.where("kind > 0").groupBy("slot").applyInArrow(total_counts, ROWS_SCHEMA))
+        counts_of_counts(again)
+        before, known = known, materialize(asked.where("kind = 0"))
+        discard(counted, asked, *([before] if before else []))
+        counted = again
+    found = tell(counted) if known is None else tell(known, counted)
     summed: dict[int, list[int]] = {}
-    for table in stats:
-        for r in table.where("kind < 0").groupBy("kind").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"n{i}") for i in range(K + 3)]).collect():
-            summed[-r.kind] = [x + y for x, y in zip(summed.get(-r.kind, [0] * (K + 3)), r[1:])]
+    for r in stats:
+        summed[-r.kind] = [x + y for x, y in zip(summed.get(-r.kind, [0] * (K + 3)), r[1:])]
     ones = summed.get(1, [0] * (K + 3))
     model = Model(totals.train or 0, sum(ones[1:]), {k: discounts(summed.get(k, [0] * (K + 3))) for k in range(1, order + 1)}, ones, totals.docs or 0)
     partial = materialize(found.groupBy("chunk").applyInArrow(score_seen(model, order, parts), PARTIAL_SCHEMA))
+    discard(stored, counted, *([known] if known else []))
     weights = materialize(partial.where("kind = 1").groupBy("slot").applyInArrow(backoff_weights(model), PARTIAL_SCHEMA))
     answers = partial.where("kind = 0").unionByName(weights.where("kind = 1"))
     done = answers.groupBy("chunk").applyInArrow(finish(parts), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

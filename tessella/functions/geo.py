@@ -71,16 +71,15 @@ def bd09_to_gcj02(lon: Column, lat: Column) -> Column:
     return F.struct((z * F.cos(theta)).alias("lon"), (z * F.sin(theta)).alias("lat"))
 
 
-def _wave(v: Column, pairs: tuple) -> Column:
-    return sum(((k1 * F.sin(v / d1 * math.pi) + k2 * F.sin(v / d2 * math.pi)) * 2.0 / 3.0 for (k1, d1), (k2, d2) in pairs), F.lit(0.0))
-
-
 def gcj02_to_wgs84(lon: Column, lat: Column) -> Column:
     """The standard approximate inverse: twice the point less its forward image; identity outside the region."""
     x, y = lon - 105.0, lat - 35.0
-    shared = (20.0 * F.sin(6.0 * x * math.pi) + 20.0 * F.sin(2.0 * x * math.pi)) * 2.0 / 3.0
-    d_lat = -100.0 + 2.0 * x + 3.0 * y + 0.2 * y * y + 0.1 * x * y + 0.2 * F.sqrt(F.abs(x)) + shared + _wave(y, (((20.0, 1.0), (40.0, 3.0)), ((160.0, 12.0), (320.0, 30.0))))
-    d_lon = 300.0 + x + 2.0 * y + 0.1 * x * x + 0.1 * x * y + 0.1 * F.sqrt(F.abs(x)) + shared + _wave(x, (((20.0, 1.0), (40.0, 3.0)), ((150.0, 12.0), (300.0, 30.0))))
+    sin = lambda v: F.sin(v * math.pi)
+    # The coefficients of the public formula.
+    d_lat = -100.0 + 2.0 * x + 3.0 * y + 0.2 * y * y + 0.1 * x * y + 0.2 * F.sqrt(F.abs(x))
+    d_lat += (20.0 * sin(6.0 * x) + 20.0 * sin(2.0 * x) + 20.0 * sin(y) + 40.0 * sin(y / 3.0) + 160.0 * sin(y / 12.0) + 320.0 * sin(y / 30.0)) * 2.0 / 3.0
+    d_lon = 300.0 + x + 2.0 * y + 0.1 * x * x + 0.1 * x * y + 0.1 * F.sqrt(F.abs(x))
+    d_lon += (20.0 * sin(6.0 * x) + 20.0 * sin(2.0 * x) + 20.0 * sin(x) + 40.0 * sin(x / 3.0) + 150.0 * sin(x / 12.0) + 300.0 * sin(x / 30.0)) * 2.0 / 3.0
     rad = F.radians(lat)
     magic = 1 - KRASOVSKY_EE * F.sin(rad) * F.sin(rad)
     d_lat = d_lat * 180.0 / (KRASOVSKY_A * (1 - KRASOVSKY_EE) / (magic * F.sqrt(magic)) * math.pi)

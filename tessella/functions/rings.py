@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -162,70 +160,83 @@ def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
-def _matrix(ring) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in ring], dtype=float).reshape(-1, 2)
-
-
-def _points(rows: np.ndarray) -> list[dict]:
-    return [{"x": float(x), "y": float(y)} for x, y in rows]
-
-
-@F.pandas_udf(POINTS_TYPE)
-def _simplify(rings: pd.Series, tolerance: pd.Series) -> pd.Series:
-    def keep(ring, tol):
-        if ring is None or len(ring) < 3:
-            return ring if ring is None else _points(_matrix(ring))
-        pts = _matrix(ring)
-        flags, todo = np.zeros(len(pts), dtype=bool), [(0, len(pts) - 1)]
-        flags[[0, -1]] = True
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _far_vertices(x: pd.Series, y: pd.Series, tolerance: pd.Series) -> pd.Series:
+    """Douglas-Peucker has no end that built-in functions could know: it splits until nothing is far enough."""
+
+    def farthest(px, py, a, b):
+        """(squared distance to the segment a-b, vertex) of the farthest vertex between."""
+        dx, dy = px[b] - px[a], py[b] - py[a]
+        length = dx * dx + dy * dy
+        ix, iy = px[a + 1 : b] - px[a], py[a + 1 : b] - py[a]
+        t = np.clip((ix * dx + iy * dy) / length, 0, 1) if length else 0.0
+        d = (ix - t * dx) ** 2 + (iy - t * dy) ** 2
+        k = int(d.argmax())
+        return d[k], a + 1 + k
+
+    def keep(px, py, tol):
+        if px is None:
+            return None
+        flags = np.zeros(len(px), dtype=bool)
+        flags[:1] = flags[-1:] = True
+        todo = [(0, len(px) - 1)]
         while todo:
             a, b = todo.pop()
-            if b - a < 2:
-                continue
-            d, inner = pts[b] - pts[a], pts[a + 1 : b] - pts[a]
-            length = math.hypot(*d)
-            if length:  # distance to the segment
-                t = np.clip(inner @ d / length**2, 0, 1)
-                far = np.hypot(*(inner - t[:, None] * d).T)
-            else:
-                far = np.hypot(*inner.T)
-            k = int(far.argmax())
-            if far[k] > tol:
-                flags[a + 1 + k] = True
-                todo += [(a, a + 1 + k), (a + 1 + k, b)]
-        return _points(pts[flags])
-
-    return pd.Series([keep(r, t) for r, t in zip(rings, tolerance)])
+            if b - a > 1:
+                d, k = farthest(px, py, a, b)
+                if d > tol * tol:
+                    flags[k] = True
+                    todo += [(a, k), (k, b)]
+        return flags
+
+    return pd.Series([keep(*row) for row in zip(x, y, tolerance)])
 
 
 def simplify_polygon(ring: Column, tolerance: float = 0.01) -> Column:
     """Douglas-Peucker on the open chain from the first to the last vertex."""
-    return _simplify(ring, F.lit(float(tolerance)))
-
-
-@F.pandas_udf(T.StructType([T.StructField("ring", POINTS_TYPE), T.StructField("corners", T.ArrayType(T.IntegerType()))]))
-def _resample(rings: pd.Series, counts: pd.Series) -> pd.DataFrame:
-    out = []
-    for ring, n in zip(rings, counts):
-        pts = _matrix(ring if ring is not None else [])
-        closed = np.vstack([pts, pts[:1]]) if len(pts) else pts
-        sides = np.hypot(*np.diff(closed, axis=0).T) if len(pts) else np.zeros(0)
-        if len(pts) < 3 or sides.sum() < 1e-6:
-            out.append((_points(np.repeat(pts[:1], n, axis=0)), [0] * n if len(pts) else []))
-            continue
-        along = np.concatenate(([0.0], np.cumsum(sides)))
-        where = np.arange(n) * along[-1] / n
-        got = np.column_stack([np.interp(where, along, closed[:, k]) for k in (0, 1)])
-        samples, flags = got.copy(), np.zeros(n, dtype=int)
-        for p in pts:
-            k = int(((samples - p) ** 2).sum(axis=1).argmin())
-            got[k], flags[k] = p, 1
-        out.append((_points(got), flags.tolist()))
-    return pd.DataFrame(out, columns=["ring", "corners"])
+    far = _far_vertices(ring["x"], ring["y"], F.lit(float(tolerance)))
+    kept = F.filter(F.arrays_zip(ring.alias("p"), far.alias("far")), lambda z: z["far"])
+    return F.when(ring.isNull(), None).otherwise(F.transform(kept, lambda z: z["p"]))
+
+
+@F.pandas_udf(T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("y", T.ArrayType(T.DoubleType())), T.StructField("corner", T.ArrayType(T.IntegerType()))]))
+def _even_points(x: pd.Series, y: pd.Series, counts: pd.Series) -> pd.DataFrame:
+    """Rings of a batch that have the same number of vertices are worked on together, as one array."""
+    n = int(counts.iloc[0]) if len(counts) else 0
+    sizes = np.array([0 if v is None else len(v) for v in x], dtype=np.int64)
+    out = [np.zeros((len(x), n)), np.zeros((len(x), n)), np.zeros((len(x), n), dtype=np.int32)]
+    for m in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == m)
+        ring = np.stack([np.stack(v.iloc[rows].to_list()) for v in (x, y)], axis=2).astype(float)
+        ahead = np.roll(ring, -1, axis=1) - ring
+        side = np.hypot(ahead[:, :, 0], ahead[:, :, 1])
+        end = side.cumsum(axis=1)
+        length = end[:, -1:]
+        if m < 3:
+            length = np.zeros_like(length)
+        t = np.arange(n) * length / n
+        # the side that a sample lies on: the first that ends beyond it
+        on = np.minimum((end[:, None, :] <= t[:, :, None]).sum(axis=2), m - 1)
+        each = np.arange(len(rows))[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = np.nan_to_num(ahead / side[:, :, None])
+        samples = ring[each, on] + (t - (end - side)[each, on])[:, :, None] * slope[each, on]
+        flat = length[:, 0] < 1e-6
+        samples[flat] = ring[flat][:, :1]
+        taken = ((samples[:, None] - ring[:, :, None]) ** 2).sum(axis=3).argmin(axis=2)
+        corner, final = np.zeros((len(rows), n), dtype=np.int32), samples.copy()
+        proper = np.flatnonzero(~flat)
+        for v in range(m):
+            final[proper, taken[proper, v]] = ring[proper, v]
+            corner[proper, taken[proper, v]] = 1
+        for to, value in zip(out, (final[:, :, 0], final[:, :, 1], corner)):
+            to[rows] = value
+    return pd.DataFrame({k: [v[i] if sizes[i] else v[i][:0] for i in range(len(x))] for k, v in zip(("x", "y", "corner"), out)})
 
 
 def resample_polygon(ring: Column, n: int = 64) -> Column:
     """struct(ring, corners): n points at equal steps along the closed ring from its first vertex. Every vertex then
     replaces its nearest sample (the first of ties; later vertices win) and flags it 1. Rings of under three vertices or
-    without length repeat their first point, unflagged."""
-    return _resample(ring, F.lit(n))
+    without length repeat their first point, unflagged; empty and null ones give no points."""
+    even = _even_points(ring["x"], ring["y"], F.lit(n))
+    return F.struct(F.arrays_zip(even["x"].alias("x"), even["y"].alias("y")).alias("ring"), even["corner"].alias("corners"))

@@ -76,21 +76,20 @@ def panoptic_quality(overlaps: DataFrame, things: DataFrame | None = None) -> Da
     return named.withColumn("grp", F.explode(groups)).groupBy("grp").agg(*[F.avg(c).alias(c) for c in ("pq", "sq", "rq")], F.count("*").alias("n"))
 
 
-def segment_areas(pixels: DataFrame, least: int = 4, max_rounds: int = 64) -> DataFrame:
+def segment_areas(pixels: DataFrame, least: int = 4) -> DataFrame:
     """(image_id, segment_id, area) by the best segment of each pixel; segments of area <= ``least`` are taken out and
     pixels dealt again until none is left. ``pixels``: image_id, px, py, segment_id, logit (one row a candidate), merged
     stuff segments having one id. Each round takes out at least one segment, and the loop ends when none went."""
     from tessella.sources.shared import materialize
 
     left = pixels
-    for _ in range(max_rounds):
+    while True:
         best = left.groupBy("image_id", "px", "py").agg(F.max_by("segment_id", F.struct("logit", (-F.col("segment_id")).alias("t"))).alias("segment_id"))
         areas = materialize(best.groupBy("image_id", "segment_id").agg(F.count("*").alias("area")))
         small = areas.where(F.col("area") <= least).select("image_id", "segment_id")
         if small.isEmpty():
             return areas
-        left = left.join(small, ["image_id", "segment_id"], "left_anti")
-    return areas.where(F.col("area") > least)
+        left = materialize(left.join(small, ["image_id", "segment_id"], "left_anti"))
 
 
 def mask_to_box(pixels: DataFrame, keys: list[str]) -> DataFrame:

@@ -24,13 +24,14 @@ VIEWS = {
     "fx_points": """SELECT c_custkey AS point_id, CAST(73 AS DOUBLE) + CAST((c_custkey*97) % 6000 AS DOUBLE)/100 AS lon,
         CAST(5 AS DOUBLE) + CAST((c_custkey*61) % 4500 AS DOUBLE)/100 AS lat FROM customer""",
     "fx_steps": """SELECT user_id AS run_id, event_id AS step, event_type AS metric, value FROM events""",
-    "fx_epochs": """SELECT run_id, epoch, conf_mean, conf_kept, n_pseudo, CASE WHEN epoch % 10 = 9 THEN src_ap END AS src_ap,
-        CASE WHEN epoch > 0 THEN stability END AS stability FROM (SELECT user_id % 10 AS run_id,
-          CAST(row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1 AS INT) AS epoch,
+    # a run is a block of 200 events, so the number of runs grows with the table
+    "fx_epochs": """SELECT run_id + 10*CAST(floor(nth / 200.0) AS BIGINT) AS run_id, CAST(nth % 200 AS INT) AS epoch, conf_mean, conf_kept, n_pseudo, CASE WHEN nth % 10 = 9 THEN src_ap END AS src_ap,
+        CASE WHEN nth % 200 > 0 THEN stability END AS stability FROM (SELECT user_id % 10 AS run_id,
+          row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1 AS nth,
           CAST(0.15 AS DOUBLE) + CAST((event_id*104729) % 1000 AS DOUBLE)/5000 AS conf_mean,
           CAST(0.4 AS DOUBLE) + CAST((event_id*7919) % 1000 AS DOUBLE)/2500 AS conf_kept,
           CAST((event_id*31) % 40 AS DOUBLE)/2 AS n_pseudo, CAST(0.3 AS DOUBLE) + CAST((event_id*13) % 100 AS DOUBLE)/1000 AS src_ap,
-          CAST((event_id*17) % 1000 AS DOUBLE)/1000 AS stability FROM events) e WHERE epoch < 200""",
+          CAST((event_id*17) % 1000 AS DOUBLE)/1000 AS stability FROM events) e""",
     "fx_segments": """SELECT image_id, pred_seg, gt_seg, CAST(pred_seg % 3 AS INT) AS pred_cat, CAST(gt_seg % 3 AS INT) AS gt_cat,
         count(*) AS pixels FROM (SELECT o_custkey AS image_id, l_linenumber AS pred_seg,
           CASE WHEN l_partkey % 5 = 0 THEN l_linenumber + 1 ELSE l_linenumber END AS gt_seg

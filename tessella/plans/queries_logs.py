@@ -20,15 +20,15 @@ def scratch(fx) -> str:
     return f"{shared_dir(fx.spark)}/{uuid.uuid4().hex}"
 
 
-@query("a4_threshold_log", "SELECT run_id, epoch, round(conf_mean, 6) AS avg_confidence, CASE WHEN epoch % 3 = 0 THEN 1 ELSE 0 END AS retrain_triggered, 0 AS retrain_schedule_due FROM fx_epochs WHERE run_id = 1")
+@query("a4_threshold_log", "SELECT run_id, epoch, round(conf_mean, 6) AS avg_confidence, CASE WHEN epoch % 3 = 0 THEN 1 ELSE 0 END AS retrain_triggered, 0 AS retrain_schedule_due FROM fx_epochs")
 def _(fx):
     path = scratch(fx)
-    d = fx.epochs.where("run_id = 1")
+    d = fx.epochs
     cols = {"epoch(epoch no.)": c("epoch"), "raw_threshold": F.lit(0.4), "target_ema_threshold": F.lit(0.4), "quantile_threshold": F.lit("x"), "effective_threshold（used）": F.lit(0.4), "avg_confidence": F.round("conf_mean", 6), "avg_confidence_kept": c("conf_kept")}
     flags = {"retrain_triggered": F.when(c("epoch") % 3 == 0, "yes").otherwise("no"), "retrain_due": F.lit("2.7")}
-    d.select(*[v.alias(k) for k, v in {**cols, **flags}.items()]).write.csv(path, sep="\t", header=True)
+    d.select(*[v.alias(k) for k, v in {**cols, **flags}.items()], "run_id").write.partitionBy("run_id").csv(path, sep="\t", header=True)
     got = logs.read_threshold_log(fx.spark, path)
-    return got.select(F.lit(1).cast("long").alias("run_id"), "epoch", r6(c("avg_confidence")).alias("avg_confidence"), "retrain_triggered", "retrain_schedule_due")
+    return got.select(c("run_id").cast("long").alias("run_id"), "epoch", r6(c("avg_confidence")).alias("avg_confidence"), "retrain_triggered", "retrain_schedule_due")
 
 
 @query("a5_a6_metric_log", "SELECT 'run' AS run, run_id, epoch, round(conf_mean, 6) AS conf_mean, round(stability, 6) AS stability, 'a b' AS note FROM fx_epochs")

@@ -32,11 +32,11 @@ def from_image(fx):
     return fx.rings.join(fx.images, "image_id")
 
 
-@query("a8_export_preannotations", f"""WITH t AS (SELECT image_id, ann_id, w, h, {AREA} AS area FROM fx_rings WHERE ann_id % 50 = 0)
+@query("a8_export_preannotations", f"""WITH t AS (SELECT image_id, ann_id, w, h, {AREA} AS area FROM fx_rings)
   SELECT CAST(dense_rank() OVER (ORDER BY 'd/' || lpad(image_id::VARCHAR, 8, '0') || '.jpg') AS BIGINT) AS image_id, 'tile_' || image_id || '.jpg' AS file_name, count(*) AS n, round(sum(area), 6) AS area, round(sum(w+h), 6) AS sides FROM t GROUP BY t.image_id""")
 def _(fx):
     path = F.concat(F.lit("d/"), F.lpad(c("image_id").cast("string"), 8, "0"), F.lit(".jpg"))
-    rows = fx.rings.where("ann_id % 50 = 0").select(path.alias("path"), "ring", F.lit(0.5).alias("score"))
+    rows = fx.rings.select(path.alias("path"), "ring", F.lit(0.5).alias("score"))
     images, anns = coco.export_preannotations(rows)
     s = anns.groupBy("image_id").agg(F.count("*").alias("n"), r6(F.sum("area")).alias("area"), r6(F.sum(F.get("bbox", F.lit(2)) + F.get("bbox", F.lit(3)))).alias("sides"))
     number = F.regexp_extract("file_name", "([0-9]+)", 1).cast("int")
@@ -98,11 +98,18 @@ def _(fx):
     return fx.rings.select("ann_id", weighted(R.clip_polygon(c("ring"), F.lit(100.0), F.lit(90.0))).alias("s"))
 
 
-@query("b14_resample_polygon", "SELECT ann_id, 64 AS n, 6 AS n_corners, round(ring[1].x + 2*ring[1].y, 6) AS first FROM fx_rings")
+SAMPLES = """s AS (SELECT ann_id, w, h, ring, list_transform(range(0, 64), lambda k: k*2*(w+h)/64) AS ts, ring[1].x AS x0, ring[1].y AS y0 FROM fx_rings),
+  g AS (SELECT *, list_transform(ts, lambda t: CASE WHEN t < w THEN {'x': x0+t, 'y': y0} WHEN t < w+h/2 THEN {'x': x0+w, 'y': y0+t-w} WHEN t < 1.5*w+h/2 THEN {'x': x0+w-(t-w-h/2), 'y': y0+h/2}
+    WHEN t < 1.5*w+h THEN {'x': x0+w/2, 'y': y0+t-1.5*w} WHEN t < 2*w+h THEN {'x': x0+w/2-(t-1.5*w-h), 'y': y0+h} ELSE {'x': x0, 'y': y0+h-(t-2*w-h)} END) AS got FROM s),
+  d AS (SELECT *, list_transform(ring, lambda p: list_transform(got, lambda q: (q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y))) AS far FROM g),
+  n AS (SELECT *, list_transform(far, lambda f: list_position(f, list_min(f))) AS near FROM d),
+  r AS (SELECT *, list_transform(range(1, 65), lambda k: CASE WHEN list_contains(near, k) THEN ring[7 - list_position(list_reverse(near), k::INT)] ELSE got[k] END) AS done FROM n)"""
+
+
+@query("b14_resample_polygon", f"WITH {SAMPLES} SELECT ann_id, 64 AS n, CAST(len(list_distinct(near)) AS INT) AS n_corners, {xsum('done')} AS s FROM r")
 def _(fx):
-    r = fx.rings.withColumn("r", R.resample_polygon(c("ring"), 64))
-    first = F.get("r.ring", F.lit(0))
-    return r.select("ann_id", F.size("r.ring").alias("n"), F.aggregate("r.corners", F.lit(0), lambda s, v: s + v).alias("n_corners"), r6(first["x"] + 2 * first["y"]).alias("first"))
+    r = R.settled(fx.rings, "r", R.resample_polygon(c("ring"), 64))
+    return r.select("ann_id", F.size("r.ring").alias("n"), F.aggregate("r.corners", F.lit(0), lambda s, v: s + v).alias("n_corners"), weighted(c("r.ring")).alias("s"))
 
 
 PREV = "ring[(i - 2 + len(ring)) % len(ring) + 1]"
@@ -233,12 +240,11 @@ def _(fx):
     return fx.rings.select("ann_id", flags(0.01).alias("n"), flags(-0.2).alias("far"))
 
 
-@query("t1_clean_annotations", f"SELECT ann_id, 64 AS n, 6 AS n_corners, true AS whole FROM fx_rings WHERE {AREA} >= 2")
+@query("t1_clean_annotations", f"WITH {SAMPLES}, q AS (SELECT *, list_transform(done, lambda p: {{'x': trunc(p.x), 'y': trunc(p.y)}}) AS cut FROM r WHERE {AREA} >= 2) SELECT ann_id, 64 AS n, CAST(len(list_distinct(near)) AS INT) AS n_corners, {xsum('cut')} AS s FROM q")
 def _(fx):
     wide = fx.images.select("image_id", F.lit(1000).alias("width"), F.lit(1000).alias("height"))
     d = etl.clean_annotations(fx.rings.select("ann_id", "image_id", "ring"), wide)
-    whole = F.forall("ring", lambda p: (p["x"] == F.floor(p["x"])) & (p["y"] == F.floor(p["y"])))
-    return d.select("ann_id", F.size("ring").alias("n"), F.aggregate("cor_cls_poly", F.lit(0), lambda s, v: s + v).alias("n_corners"), whole.alias("whole"))
+    return d.select("ann_id", F.size("ring").alias("n"), F.aggregate("cor_cls_poly", F.lit(0), lambda s, v: s + v).alias("n_corners"), weighted(c("ring")).alias("s"))
 
 
 TILES = """SELECT image_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, CAST(greatest(least(c*220, sw-320), 0) AS INT) AS tx0, CAST(greatest(least(r*220, sh-320), 0) AS INT) AS ty0,
@@ -252,12 +258,12 @@ def _(fx):
     return etl.tile_images(fx.images)
 
 
-@query("t3_crop_annotations", f"""WITH t AS ({TILES}), o AS (SELECT ann_id, image_id, x*2.5 AS x1, y*2.5 AS y1, (x+w)*2.5 AS x2, (y+h)*2.5 AS y2 FROM fx_objects WHERE ann_id % 20 = 0),
+@query("t3_crop_annotations", f"""WITH t AS ({TILES}), o AS (SELECT ann_id, image_id, x*2.5 AS x1, y*2.5 AS y1, (x+w)*2.5 AS x2, (y+h)*2.5 AS y2 FROM fx_objects),
   k AS (SELECT tile, ann_id, least(greatest(x1-tx0,0),319) AS a, least(greatest(y1-ty0,0),319) AS b, least(greatest(x2-tx0,0),319) AS c, least(greatest(y2-ty0,0),319) AS d
     FROM t JOIN o USING (image_id) WHERE x2 > tx0 AND x1 < tx0+320 AND y2 > ty0 AND y1 < ty0+320)
   SELECT tile, ann_id, round((c-a)*(d-b), 6) AS area, row_number() OVER (ORDER BY tile, ann_id) AS new_id FROM k WHERE (c-a)*(d-b) >= 16""")
 def _(fx):
-    d = etl.crop_annotations(etl.tile_images(fx.images), fx.objects.where("ann_id % 20 = 0").select("ann_id", "image_id", F.array(R.point(c("x"), c("y")), R.point(c("x") + c("w"), c("y")), R.point(c("x") + c("w"), c("y") + c("h")), R.point(c("x"), c("y") + c("h"))).alias("ring")))
+    d = etl.crop_annotations(etl.tile_images(fx.images), fx.objects.select("ann_id", "image_id", F.array(R.point(c("x"), c("y")), R.point(c("x") + c("w"), c("y")), R.point(c("x") + c("w"), c("y") + c("h")), R.point(c("x"), c("y") + c("h"))).alias("ring")))
     return d.select("tile", "ann_id", r6(c("area")).alias("area"), "new_id")
 
 
@@ -291,10 +297,10 @@ def _(fx):
 
 
 def regions(fx):
-    return fx.points.where("point_id % 10 = 0").select(c("point_id").cast("string").alias("name"), c("lon").alias("min_lon"), c("lat").alias("min_lat"), (c("lon") + 1.5).alias("max_lon"), (c("lat") + 1).alias("max_lat"), F.lit(10).alias("zoom"))
+    return fx.points.select(c("point_id").cast("string").alias("name"), c("lon").alias("min_lon"), c("lat").alias("min_lat"), (c("lon") + 1.5).alias("max_lon"), (c("lat") + 1).alias("max_lat"), F.lit(10).alias("zoom"))
 
 
-BOUNDS = f"""SELECT CAST(point_id AS VARCHAR) AS name, floor({G1}) AS x0, floor({G1.replace('lon', '(lon+1.5)')}) AS x1, floor({G2.replace('lat', '(lat+1)')}) AS y0, floor({G2}) AS y1 FROM fx_points WHERE point_id % 10 = 0"""
+BOUNDS = f"""SELECT CAST(point_id AS VARCHAR) AS name, floor({G1}) AS x0, floor({G1.replace('lon', '(lon+1.5)')}) AS x1, floor({G2.replace('lat', '(lat+1)')}) AS y0, floor({G2}) AS y1 FROM fx_points"""
 
 
 @query("g3_tile_cover", f"WITH t AS ({BOUNDS}) SELECT name, CAST(x AS INT) AS tile_x, CAST(unnest(range(CAST(y0 AS BIGINT), CAST(y1 AS BIGINT)+1)) AS INT) AS tile_y FROM (SELECT *, unnest(range(CAST(x0 AS BIGINT), CAST(x1 AS BIGINT)+1)) AS x FROM t) u")

@@ -88,7 +88,7 @@ def _(fx):
     return sampling.key_differences(fx.detections.where("score > 0.5").select(c("det_id").alias("ann_id")), fx.objects, "ann_id")
 
 
-@query("h8_string_functions", """SELECT image_id, file_name AS base, replace(file_name, '.jpg', '') AS stem, lpad(CAST(image_id AS VARCHAR), 12, '0') || '.jpg' AS padded, 'raw' AS header, replace(printf('%.2f', image_id/100.0), '.', 'p') AS tag FROM fx_images WHERE image_id < 1000""")
+@query("h8_string_functions", """SELECT image_id, file_name AS base, replace(file_name, '.jpg', '') AS stem, lpad(CAST(image_id AS VARCHAR), 12, '0') || '.jpg' AS padded, 'raw' AS header, replace(printf('%.2f', image_id/100.0), '.', 'p') AS tag FROM fx_images""")
 def _(fx):
     path = F.concat(F.lit("a\\b/"), c("file_name"))
-    return fx.images.where("image_id < 1000").select("image_id", S.basename(path).alias("base"), S.stem(path).alias("stem"), S.padded_name(c("image_id")).alias("padded"), S.header_name(F.lit("raw（label）")).alias("header"), S.number_tag(c("image_id") / 100).alias("tag"))
+    return fx.images.select("image_id", S.basename(path).alias("base"), S.stem(path).alias("stem"), S.padded_name(c("image_id")).alias("padded"), S.header_name(F.lit("raw（label）")).alias("header"), S.number_tag(c("image_id") / 100).alias("tag"))

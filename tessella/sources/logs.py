@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.strings import scrub
 
+# The columns of the file format.
 REQUIRED = ["epoch", "raw_threshold", "target_ema_threshold", "quantile_threshold", "effective_threshold", "avg_confidence", "avg_confidence_kept", "retrain_triggered", "retrain_due"]
 OPTIONAL = {"retrain_schedule_due": "0", "retrain_event_due": "0", "retrain_action": ""}
 FLAGS = ("retrain_triggered", "retrain_due", "retrain_schedule_due", "retrain_event_due")
@@ -26,7 +27,7 @@ def parse_number(text: Column) -> Column:
 
 def read_threshold_log(spark: SparkSession, path: str) -> DataFrame:
     """Typed columns of a TSV log whose headers may carry a label in brackets; missing required columns are listed in the
-    error, optional ones get defaults."""
+    error, optional ones get defaults. A folder of logs by ``run_id=...`` keeps the run."""
     raw = spark.read.csv(path, sep="\t", header=True, inferSchema=False)
     named = raw.toDF(*[re.split(r"[(（]", c)[0].strip() for c in raw.columns])
     missing = [c for c in REQUIRED if c not in named.columns]
@@ -36,7 +37,7 @@ def read_threshold_log(spark: SparkSession, path: str) -> DataFrame:
         if c not in named.columns:
             named = named.withColumn(c, F.lit(default))
     kind = lambda c: parse_flag(F.col(c)) if c in FLAGS else F.coalesce(F.col(c), F.lit("")) if c == "retrain_action" else parse_number(F.col(c)).cast("int") if c == "epoch" else parse_number(F.col(c))
-    return named.select(*[kind(c).alias(c) for c in [*REQUIRED, *OPTIONAL]])
+    return named.select(*[kind(c).alias(c) for c in [*REQUIRED, *OPTIONAL]], *[F.col(c) for c in named.columns if c == "run_id"])
 
 
 def read_metric_log(spark: SparkSession, paths: list[str]) -> DataFrame:

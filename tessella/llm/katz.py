@@ -22,7 +22,7 @@ K, SPARE = 5, 0.01
 #: Order of the model, unless told otherwise.
 ORDER = 3
 #: Tokens in a chunk of documents, and tokens for each partition of the tables.
-CHUNK_TOKENS, PART_TOKENS = 1 << 20, 1 << 20
+CHUNK_TOKENS, PART_TOKENS = 1 << 19, 1 << 20
 END, START = (int(x) for x in mix(np.array([101, 202], dtype=U)))
 STEP = U(0xA24BAED4963EE407)
 CHUNK_SCHEMA = "chunk long, doc_ids array<long>, held array<boolean>, bounds array<long>, n_tokens long, n_train long, ids binary, vocab binary"
@@ -100,6 +100,7 @@ class Chunk:
             else:
                 prefix, below = self.of[k - 1][where - 1], self.keys[k - 1]
             codes, first, of = np.unique(prefix * (size + 1) + self.ids[where], return_index=True, return_inverse=True)
+            del prefix
             self.of[k] = np.full(n, -1, dtype=np.int64)
             self.of[k][where] = of
             self.left[k], self.right[k] = np.divmod(codes, size + 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.blobs import Sums, deal, pack, pack_sorted, unpack, unpack_sorted
+from tessella.llm.blobs import Sums, deal_ranges, pack, pack_sorted, unpack, unpack_sorted
 from tessella.llm.fitting import fold
 from tessella.llm.tokens import U, Words, chunks, column_bytes, mix
 from tessella.sources.shared import discard, materialize
@@ -23,6 +24,8 @@ K, SPARE = 5, 0.01
 ORDER = 3
 #: Tokens in a chunk of documents, and tokens for each partition of the tables.
 CHUNK_TOKENS, PART_TOKENS = 1 << 19, 1 << 20
+#: Steps that send all chunks with their answers do so in this many rounds, so that not all of them lie in shuffle files at once.
+ROUNDS = 2
 END, START = (int(x) for x in mix(np.array([101, 202], dtype=U)))
 STEP = U(0xA24BAED4963EE407)
 CHUNK_SCHEMA = "chunk long, doc_ids array<long>, held array<boolean>, bounds array<long>, n_tokens long, n_train long, ids binary, vocab binary"
@@ -124,7 +127,7 @@ class Chunk:
 
     def blocks(self, k: int, which: np.ndarray, parts: int) -> list[dict]:
         keys, counts = self.keys[k][which], self.counts(k)[which]
-        order, bounds = deal(keys, parts)
+        order, bounds = deal_ranges(keys, parts)
         out = []
         for p in np.flatnonzero(np.diff(bounds)):
             at = order[bounds[p] : bounds[p + 1]]
@@ -154,7 +157,7 @@ def told(table: pa.Table, order: int, upto: int, parts: int) -> tuple[Chunk, dic
     known = dict(enumerate(have, 1))
     for k in range(len(have) + 1, upto + 1):
         value, asked = (np.zeros(len(c.keys[k]), np.int64), np.arange(len(c.keys[k]))) if k < 3 else c.guess(k, known)
-        deals, bounds = deal(c.keys[k][asked], parts)
+        deals, bounds = deal_ranges(c.keys[k][asked], parts)
         for r in rows:
             if r["kind"] == k:
                 p = r["slot"] // LEVELS
@@ -289,16 +292,21 @@ def score_seen(model: Model, order: int, parts: int):
         starts = np.flatnonzero(np.diff(at[order_], prepend=-1))
         about = np.zeros((2, len(used)))
         about[:, at[order_][starts]] = most(size), most(level)
-        few = np.stack([*classes, *about, np.isin(used, ask)]).astype(np.int32)
+        asks = np.isin(used, ask)
+        few = np.stack([*classes, *about, asks]).astype(np.int32)
         mass = np.bincount(at, weights=lower, minlength=len(used))
-        deals, bounds = deal(used, parts)
+        deals, bounds = deal_ranges(used, parts)
+        # answers come in the order in which contexts are dealt, so they are kept by their places in it, without keys
+        place = np.empty(len(used), dtype=np.int64)
+        place[deals[asks[deals]]] = np.arange(len(ask))
+        rank = place[asks][rank]
         out = []
         for p in np.flatnonzero(np.diff(bounds)):
             i = deals[bounds[p] : bounds[p + 1]]
             out.append({"kind": 1, "chunk": c.row["chunk"], "slot": int(p), "keys": pack_sorted(used[i]), "values": pack(mass[i]), "few": pack(few[:, i].reshape(-1))})
         known_words = (counts[1] > 0)[c.ids]
         out.append({
-            "kind": 0, "chunk": c.row["chunk"], "keys": pack_sorted(ask), "docs": pack(doc[owing.astype(np.int64)].astype(np.int32)),
+            "kind": 0, "chunk": c.row["chunk"], "docs": pack(doc[owing.astype(np.int64)].astype(np.int32)),
             "contexts": pack(rank.astype(np.int32)), "doc_ids": c.row["doc_ids"], "held": c.row["held"],
             "n_tokens": np.diff(c.bounds).tolist(), "n_known": sums(known_words).astype(np.int64).tolist(), "base": sums(model.base(counts[1])[c.ids]).tolist(), "score": sums(score).tolist(),
         })
@@ -330,23 +338,14 @@ def backoff_weights(model: Model):
     return of
 
 
-def finish(parts: int):
+def finish(table: pa.Table) -> pa.Table:
     """A chunk's documents with the weights that their contexts owed."""
-
-    def of(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        c = next(r for r in rows if r["kind"] == 0)
-        keys = unpack_sorted(c["keys"])
-        order, bounds = deal(keys, parts)
-        weights = np.zeros(len(keys))
-        for r in rows:
-            if r["kind"] == 1:
-                weights[order[bounds[r["slot"]] : bounds[r["slot"] + 1]]] = unpack(r["values"], np.float64)
-        doc, context = unpack(c["docs"], np.int32), unpack(c["contexts"], np.int32)
-        score = np.array(c["score"]) + np.bincount(doc, weights=weights[context], minlength=len(c["doc_ids"]))
-        return pa.table({"doc_id": pa.array(c["doc_ids"], pa.int64()), "held_out": pa.array(c["held"], pa.bool_()), "n_tokens": pa.array(c["n_tokens"], pa.int64()), "n_known": pa.array(c["n_known"], pa.int64()), "base_score": pa.array(c["base"], pa.float64()), "score": pa.array(score, pa.float64())})
-
-    return of
+    rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["slot"]))
+    c = rows[0]
+    weights = np.concatenate([np.zeros(0), *(unpack(r["values"], np.float64) for r in rows[1:])])
+    doc, context = unpack(c["docs"], np.int32), unpack(c["contexts"], np.int32)
+    score = np.array(c["score"]) + np.bincount(doc, weights=weights[context], minlength=len(c["doc_ids"]))
+    return pa.table({"doc_id": pa.array(c["doc_ids"], pa.int64()), "held_out": pa.array(c["held"], pa.bool_()), "n_tokens": pa.array(c["n_tokens"], pa.int64()), "n_known": pa.array(c["n_known"], pa.int64()), "base_score": pa.array(c["base"], pa.float64()), "score": pa.array(score, pa.float64())})
 
 
 def katz_scores(docs: DataFrame, held: Column, order: int = ORDER) -> DataFrame:
@@ -372,30 +371,35 @@ def katz_scores(docs: DataFrame, held: Column, order: int = ORDER) -> DataFrame:
             out = out.unionByName(x.where("kind >= 0 and chunk is not null"), allowMissingColumns=True)
         return out
 
+    def by_chunk(rows: DataFrame, of, schema: str) -> DataFrame:
+        """``of`` every chunk's rows, stored; each round's shuffle files go before the next."""
+        mine = [rows.where(F.pmod(F.xxhash64("chunk"), F.lit(ROUNDS)) == i) for i in range(ROUNDS)]
+        return functools.reduce(DataFrame.union, [materialize(m.groupBy("chunk").applyInArrow(of, schema)) for m in mine])
+
     def counts_of_counts(table: DataFrame) -> None:
         stats.extend(table.where("kind < 0").groupBy("kind").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"n{i}") for i in range(K + 3)]).collect())
 
     counts_of_counts(counted)
     for k in range(3, order + 1):
         found = tell(counted) if known is None else tell(known, counted)
-        asked = materialize(found.groupBy("chunk").applyInArrow(next_blocks(k, parts), ROWS_SCHEMA))
+        asked = by_chunk(found, next_blocks(k, parts), ROWS_SCHEMA)
+        discard(counted, *([known] if known else []))
         counts_of_counts(asked)
         again = materialize(asked.where("kind > 0").groupBy("slot").applyInArrow(total_counts, ROWS_SCHEMA))
         counts_of_counts(again)
-        before, known = known, materialize(asked.where("kind = 0"))
-        discard(counted, asked, *([before] if before else []))
-        counted = again
+        known, counted = materialize(asked.where("kind = 0")), again
+        discard(asked)
     found = tell(counted) if known is None else tell(known, counted)
     summed: dict[int, list[int]] = {}
     for r in stats:
         summed[-r.kind] = [x + y for x, y in zip(summed.get(-r.kind, [0] * (K + 3)), r[1:])]
     ones = summed.get(1, [0] * (K + 3))
     model = Model(totals.train or 0, sum(ones[1:]), {k: discounts(summed.get(k, [0] * (K + 3))) for k in range(1, order + 1)}, ones, totals.docs or 0)
-    partial = materialize(found.groupBy("chunk").applyInArrow(score_seen(model, order, parts), PARTIAL_SCHEMA))
+    partial = by_chunk(found, score_seen(model, order, parts), PARTIAL_SCHEMA)
     discard(stored, counted, *([known] if known else []))
     weights = materialize(partial.where("kind = 1").groupBy("slot").applyInArrow(backoff_weights(model), PARTIAL_SCHEMA))
     answers = partial.where("kind = 0").unionByName(weights.where("kind = 1"))
-    done = answers.groupBy("chunk").applyInArrow(finish(parts), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    done = answers.groupBy("chunk").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -22,8 +22,8 @@ from tessella.sources.shared import discard, materialize
 K, SPARE = 5, 0.01
 #: Order of the model, unless told otherwise.
 ORDER = 3
-#: Tokens in a chunk of documents, and tokens for each partition of the tables.
-CHUNK_TOKENS, PART_TOKENS = 1 << 19, 1 << 20
+#: Tokens in a chunk of documents, bytes of text read at a time for it, and tokens for each partition of the tables.
+CHUNK_TOKENS, PIECE_BYTES, PART_TOKENS = 600_000, 1 << 19, 1 << 20
 #: Steps that send all chunks with their answers do so in this many rounds, so that not all of them lie in shuffle files at once.
 ROUNDS = 2
 END, START = (int(x) for x in mix(np.array([101, 202], dtype=U)))
@@ -62,7 +62,7 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             doc_ids, flags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for lo, hi in chunks(offsets):
+            for lo, hi in chunks(offsets, PIECE_BYTES):
                 words = Words(data, offsets[lo : hi + 1])
                 tokens.append(np.insert(words.hash, words.first[1:], U(END)))
                 sizes += (np.diff(words.first) + 1).tolist()
@@ -84,7 +84,7 @@ class Chunk:
 
     def __init__(self, row: dict, order: int):
         self.row, self.order = row, order
-        self.ids = unpack(row["ids"], np.int32).astype(np.int64)
+        self.ids = unpack(row["ids"], np.int32)
         self.vocab = unpack_sorted(row["vocab"])
         self.bounds = np.array(row["bounds"], dtype=np.int64)
         self.held = np.array(row["held"], dtype=bool)
@@ -97,16 +97,16 @@ class Chunk:
         for k in range(2, order + 1):
             where = np.flatnonzero(place >= k - 2)
             if k == 2:
-                prefix, below = np.full(n, size), self.names
+                prefix, below = np.full(n, size, dtype=np.int64), self.names
                 prefix[1:] = self.ids[:-1]
                 prefix[self.bounds[:-1]] = size
             else:
-                prefix, below = self.of[k - 1][where - 1], self.keys[k - 1]
+                prefix, below = self.of[k - 1][where - 1].astype(np.int64), self.keys[k - 1]
             codes, first, of = np.unique(prefix * (size + 1) + self.ids[where], return_index=True, return_inverse=True)
             del prefix
-            self.of[k] = np.full(n, -1, dtype=np.int64)
+            self.of[k] = np.full(n, -1, dtype=np.int32)
             self.of[k][where] = of
-            self.left[k], self.right[k] = np.divmod(codes, size + 1)
+            self.left[k], self.right[k] = (x.astype(np.int32) for x in np.divmod(codes, size + 1))
             self.suffix[k] = self.of[k - 1][where][first]
             self.keys[k] = mix(below[self.left[k]] * STEP + self.vocab[self.right[k]])
 

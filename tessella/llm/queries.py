@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import compression, decontaminate, katz, licenses, mixing, near_dedup, phrases, quality_rules, shuffle, suffixes, toxicity
+from tessella.llm import compression, decontaminate, katz, licenses, mixing, near_dedup, phrases, quality_rules, shuffle, suffixes, toxicity, whitening
 
 QUERIES = {
     "op1_katz_scores": katz.op1_katz_scores,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_hash_threshold_mix": mixing.op8_hash_threshold_mix,
     "op9_dice_licenses": licenses.op9_dice_licenses,
     "op10_sketch_near_duplicates": near_dedup.op10_sketch_near_duplicates,
+    "op11_refined_whitening": whitening.op11_refined_whitening,
     "op13_rabin_karp_phrases": phrases.op13_rabin_karp_phrases,
 }
 SQL = {

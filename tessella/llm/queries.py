@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import compression, decontaminate, katz, licenses, mixing, near_dedup, phrases, quality_rules, shuffle, suffixes, toxicity, whitening
+from tessella.llm import compression, decontaminate, katz, licenses, mixing, near_dedup, phrases, quality_rules, secret_scan, shuffle, suffixes, toxicity, whitening
 
 QUERIES = {
     "op1_katz_scores": katz.op1_katz_scores,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_dice_licenses": licenses.op9_dice_licenses,
     "op10_sketch_near_duplicates": near_dedup.op10_sketch_near_duplicates,
     "op11_refined_whitening": whitening.op11_refined_whitening,
+    "op12_network_secrets": secret_scan.op12_network_secrets,
     "op13_rabin_karp_phrases": phrases.op13_rabin_karp_phrases,
 }
 SQL = {

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,14 +25,14 @@ TOP = 2000
 #: fills up, more phrases than necessary are materialised and the results stay the same.
 BITS = 1 << 26
 #: Fingerprints that a task holds before it hands them on, and bytes of text hashed at a time.
-HELD, PIECE = 1 << 20, 1 << 20
+HELD, PIECE = 1 << 19, 1 << 20
 BREAKS = np.zeros(256, dtype=bool)
 BREAKS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 SEPARATORS = BREAKS.copy()
 SEPARATORS[[32, 9]] = True
 
 
-def text_pieces(data: np.ndarray, offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+def text_pieces(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """(bytes, offsets, documents, owned) of up to about ``limit`` bytes. A longer document comes in several: each ends
     after a word and is followed by the words that a phrase begun in it may need; words that begin before ``owned`` are its own."""
     for lo, hi in chunks(offsets, limit):
@@ -105,7 +107,7 @@ class Piece:
 
 
 def marked(bitmap: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    bit = prints & U(BITS - 1)
+    bit = prints & U(64 * len(bitmap) - 1)
     return (bitmap[(bit >> U(6)).astype(np.int64)] >> (bit & U(63))) & U(1) == 1
 
 
@@ -115,12 +117,12 @@ def lang_hashes(langs: pa.Array) -> np.ndarray:
     return known[coded.indices.to_numpy()] if len(langs) else np.zeros(0, U)
 
 
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Piece, pa.Array, np.ndarray]]:
+def pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[Piece, pa.Array, np.ndarray]]:
     """(piece, languages, their row for each of the piece's documents) of batches of (lang, text)."""
     for batch in batches:
         data, offsets = column_bytes(batch.column(1))
         hashes = lang_hashes(batch.column(0))
-        for body, own, docs, owned in text_pieces(data, offsets):
+        for body, own, docs, owned in text_pieces(data, offsets, size):
             yield Piece(body, own, owned, hashes[docs]), batch.column(0), docs
 
 
@@ -129,22 +131,22 @@ def summed(prints: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return keys, np.bincount(of, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
 
 
-def count_prints(texts: DataFrame, k: int, bitmaps: list) -> DataFrame:
+def count_prints(texts: DataFrame, k: int, bitmaps: list, most: int, size: int) -> DataFrame:
     """(print, f): occurrences of the fingerprints of k words, those without frequent parts left out. A task sums what
     it holds before it hands rows on, Spark sums them before and after the exchange: a row for each fingerprint and task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [b.value for b in bitmaps]
         prints, counts, held = [], [], 0
-        for piece, _, _ in pieces(batches):
+        for piece, _, _ in pieces(batches, size):
             found = np.unique(piece.frequent_grams(k, bits)[1], return_counts=True)
             prints.append(found[0])
             counts.append(found[1])
             held += len(found[0])
-            if held >= HELD:
+            if held >= most:
                 merged = summed(prints, counts)
                 prints, counts, held = [merged[0]], [merged[1]], len(merged[0])
-                if held >= HELD // 2:
+                if held >= most // 2:
                     yield rows(*merged)
                     prints, counts, held = [], [], 0
         if held:
@@ -156,92 +158,138 @@ def count_prints(texts: DataFrame, k: int, bitmaps: list) -> DataFrame:
     return texts.mapInArrow(count, "print long, f long").groupBy("print").agg(F.sum("f").alias("f"))
 
 
-def bitmap_of(counted: DataFrame) -> np.ndarray:
-    """The frequent fingerprints as a bitmap of BITS bits: at most BITS / 64 rows reach the driver, whatever the corpus."""
-    bit = F.col("print").bitwiseAND(F.lit(BITS - 1))
+def bitmap_of(counted: DataFrame, bits: int) -> np.ndarray:
+    """The frequent fingerprints as a bitmap of ``bits`` bits: at most bits / 64 rows reach the driver, whatever the corpus."""
+    bit = F.col("print").bitwiseAND(F.lit(bits - 1))
     cell = counted.where(F.col("f") >= LEAST).groupBy(F.shiftright(bit, 6).cast("int").alias("cell"))
-    got = cell.agg(F.bit_or(F.expr("shiftleft(1L, int(print & 63))")).alias("bits")).toArrow()
-    bitmap = np.zeros(BITS // 64, dtype=U)
+    stored = materialize(cell.agg(F.bit_or(F.expr("shiftleft(1L, int(print & 63))")).alias("bits")))
+    got = stored.toArrow()
+    discard(stored)
+    bitmap = np.zeros(bits // 64, dtype=U)
     bitmap[got.column("cell").to_numpy()] = got.column("bits").to_numpy().view(U)
     return bitmap
 
 
-def exact_ids(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
-    """(number of each word of the piece, a place where each number stands): equal for words with equal hashes and equal
+def exact_ids(piece: Piece, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each of the words at ``at``, a place where each number stands): equal for words with equal hashes and equal
     bytes. The hash's first place is the pointer that every other place is compared with, byte by byte."""
     w, low = piece.words, LOWER[piece.data]
-    _, first, ids = np.unique(piece.hash, return_index=True, return_inverse=True)
-    size = w.ends - w.starts
+    starts, ends, hashes = w.starts[at], w.ends[at], piece.hash[at]
+    _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    size = ends - starts
     other = first[ids]
     differs = size != size[other]
     same = np.flatnonzero(~differs)
     each = size[same]
     begin = np.concatenate(([0], np.cumsum(each)[:-1])) if len(each) else each
     step = np.arange(int(each.sum())) - np.repeat(begin, each)
-    unequal = low[np.repeat(w.starts[same], each) + step] != low[np.repeat(w.starts[other[same]], each) + step]
+    unequal = low[np.repeat(starts[same], each) + step] != low[np.repeat(starts[other[same]], each) + step]
     if len(same):
         differs[same] = np.logical_or.reduceat(unequal, begin)
     seen: dict[tuple, int] = {}
     places = list(first)
     for i in np.flatnonzero(differs):
-        key = (piece.hash[i], low[w.starts[i] : w.ends[i]].tobytes())
+        key = (hashes[i], low[starts[i] : ends[i]].tobytes())
         if key not in seen:
             seen[key] = len(places)
             places.append(i)
         ids[i] = seen[key]
-    return ids, np.array(places, dtype=np.int64)
-
-
-def materialised(texts: DataFrame, bitmaps: list) -> DataFrame:
+    return ids, at[np.array(places, dtype=np.int64)]
+
+
+class Spelling:
+    """Phrases of frequent words that a task has met: words are numbered by language and bytes, a phrase is its words' numbers
+    packed in 63 bits, so nothing but bytes decides what is equal."""
+
+    WIDTH = 21
+
+    def __init__(self):
+        self.number: dict[tuple, int] = {}
+        self.keys: list[list] = [[] for _ in range(LONGEST)]
+        self.counts: list[list] = [[] for _ in range(LONGEST)]
+        self.held, self.merged = 0, False
+
+    def numbers(self, piece: Piece, at: np.ndarray, langs: list[str]) -> np.ndarray:
+        ids, places = exact_ids(piece, at)
+        low, w = LOWER[piece.data].tobytes(), piece.words
+        known = [self.number.setdefault((langs[d], low[a:b]), len(self.number)) for d, a, b in zip(w.doc[places].tolist(), w.starts[places].tolist(), w.ends[places].tolist())]
+        out = np.full(len(piece.hash), -1, dtype=np.int64)
+        out[at] = np.array(known, dtype=np.int64)[ids] if len(at) else ids
+        return out
+
+    def add(self, k: int, numbers: np.ndarray, at: np.ndarray) -> None:
+        key = np.zeros(len(at), U)
+        for i in range(k):
+            key = (key << U(self.WIDTH)) | numbers[at + i].astype(U)
+        keys, counts = np.unique(key, return_counts=True)
+        self.keys[k - 1].append(keys)
+        self.counts[k - 1].append(counts)
+        self.held, self.merged = self.held + len(keys), False
+
+    def merge(self) -> None:
+        for k in range(LONGEST):
+            if self.keys[k]:
+                keys, counts = summed(self.keys[k], self.counts[k])
+                self.keys[k], self.counts[k] = [keys], [counts]
+        self.held, self.merged = sum(len(x) for keys in self.keys for x in keys), True
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.merge()
+        lang = pa.array([g for g, _ in self.number], pa.string())
+        word = pa.array([b.decode("utf-8", "replace") for _, b in self.number], pa.string())
+        for k in range(1, LONGEST + 1):
+            for keys, counts in zip(self.keys[k - 1], self.counts[k - 1]):
+                for i in range(0, len(keys), 1 << 16):
+                    key = keys[i : i + (1 << 16)]
+                    at = [((key >> U(self.WIDTH * (k - 1 - j))) & U((1 << self.WIDTH) - 1)).astype(np.int64) for j in range(k)]
+                    phrase = pc.binary_join_element_wise(*[word.take(pa.array(x)) for x in at], " ") if k > 1 else word.take(pa.array(at[0]))
+                    yield spelled_rows(k, lang.take(pa.array(at[0])), phrase, pa.array(counts[i : i + (1 << 16)], pa.int64()))
+        self.__init__()
+
+
+def spelled_rows(k: int, lang: pa.Array, phrase: pa.Array, f: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(f), k, np.int32)), lang, phrase, f], names=["k", "lang", "phrase", "f"])
+
+
+def materialised(texts: DataFrame, bitmaps: list, most: int, size: int) -> DataFrame:
     """(k, lang, phrase, f): occurrences by text of the phrases whose fingerprints may be frequent; k = 0 has all words
-    of the language. Within a piece words are numbered by their bytes, between pieces rows are summed by text, so
+    of the language. Within a task words are numbered by their bytes, between tasks rows are summed by text, so
     fingerprints that collide can't add up."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [b.value for b in bitmaps]
-        for piece, langs, docs in pieces(batches):
-            ids, places = exact_ids(piece)
-            doc = piece.words.doc
-            low = LOWER[piece.data].tobytes()
-            starts, ends = piece.words.starts, piece.words.ends
-            lang = [x.as_py() for x in langs.take(pa.array(docs))]
-            n = np.bincount(doc[: piece.owned], minlength=len(docs))
-            out = [(np.zeros(len(docs), np.int64), lang, [""] * len(docs), n)]
-            width = U(max(1, len(places) - 1).bit_length())
+        spelling, total = Spelling(), Counter()
+        for piece, langs, docs in pieces(batches, size):
+            lang = langs.take(pa.array(docs)).to_pylist()
+            for d, n in enumerate(np.bincount(piece.words.doc[: piece.owned], minlength=len(docs)).tolist()):
+                total[lang[d]] += n
+            words = np.arange(len(piece.hash))
+            words = words[marked(bits[0], piece.fingerprints(words, 1))]
+            numbers = spelling.numbers(piece, words, lang)
             for k in range(1, LONGEST + 1):
                 at, prints = piece.frequent_grams(k, bits)
                 at = at[marked(bits[k - 1], prints)]
-                if int(width) * k <= 64:
-                    key = np.zeros(len(at), U)
-                    for i in range(k):
-                        key = (key << width) | ids[at + i].astype(U)
-                    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-                else:
-                    _, first, counts = np.unique(np.column_stack([ids[at + i] for i in range(k)]), axis=0, return_index=True, return_counts=True)
-                at = at[first]
-                phrases = [b" ".join([low[starts[j] : ends[j]] for j in range(i, i + k)]).decode("utf-8", "replace") for i in at.tolist()]
-                out.append((np.full(len(at), k), [lang[d] for d in doc[at].tolist()], phrases, counts))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([x[0] for x in out]), pa.int32()),
-                    pa.array([v for x in out for v in x[1]], pa.string()),
-                    pa.array([v for x in out for v in x[2]], pa.string()),
-                    pa.array(np.concatenate([x[3] for x in out]), pa.int64()),
-                ],
-                names=["k", "lang", "phrase", "f"],
-            )
+                for i in range(k):  # a phrase let through by chance may have a rare word, and is rare then
+                    at = at[numbers[at + i] >= 0]
+                spelling.add(k, numbers, at)
+            if spelling.held >= 4 * most:
+                spelling.merge()
+            if spelling.held >= 2 * most and spelling.merged or len(spelling.number) > 1 << (Spelling.WIDTH - 1):
+                yield from spelling.rows()
+        yield from spelling.rows()
+        yield spelled_rows(0, pa.array(list(total), pa.string()), pa.array([""] * len(total), pa.string()), pa.array(list(total.values()), pa.int64()))
 
     return texts.mapInArrow(spell, "k int, lang string, phrase string, f long").groupBy("k", "lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def frequent_phrases(docs: DataFrame) -> DataFrame:
+def frequent_phrases(docs: DataFrame, bits: int = BITS, most: int = HELD, size: int = PIECE) -> DataFrame:
     """(k, lang, phrase, f) of all phrases of 1 to LONGEST words with f >= LEAST, stored; k = 0 has a language's words."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     bitmaps: list = []
     for k in range(1, LONGEST + 1):
-        bitmaps.append(spark.sparkContext.broadcast(bitmap_of(count_prints(texts, k, bitmaps))))
-    found = materialize(materialised(texts, bitmaps).where((F.col("f") >= LEAST) | (F.col("k") == 0)))
+        bitmaps.append(spark.sparkContext.broadcast(bitmap_of(count_prints(texts, k, bitmaps, most, size), bits)))
+    found = materialize(materialised(texts, bitmaps, most, size).where((F.col("f") >= LEAST) | (F.col("k") == 0)))
     for b in bitmaps:
         b.destroy()
     return found
@@ -257,16 +305,17 @@ def exact_score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", (wide[0] * wide[0]).cast("decimal(31,0)") * F.lit(1_000_000).cast("decimal(7,0)"), wide[1] * wide[2])
 
 
-def collocations(docs: DataFrame) -> DataFrame:
-    """(lang, rank, phrase, a, l, r, n, score) of each language's TOP phrases of 2 to LONGEST words.
+def collocations(docs: DataFrame, top: int = TOP, **fit) -> DataFrame:
+    """(lang, rank, phrase, a, l, r, n, score) of each language's ``top`` best phrases of 2 to LONGEST words.
 
     ``docs`` needs ``lang`` and ``text``; a null language is ``und``, a null or empty text has no words, repeated rows
     count each time, further columns are left aside, no rows give no rows. Documents of any length are hashed in
     pieces. Ties in score go by occurrences, then by phrase in byte order. Hot words are summed before every exchange,
-    joins on a hot word are left to Spark's skew join, and each task keeps its best TOP phrases before the last ranking.
+    joins on a hot word are left to Spark's skew join, and each task keeps its best phrases before the last ranking. ``fit``: bits,
+    most and size of frequent_phrases.
     """
     spark = docs.sparkSession
-    table = frequent_phrases(docs)
+    table = frequent_phrases(docs, **fit)
     counts = table.where("k > 0").select("lang", "phrase", "f")
     long = table.where("k > 1").select("lang", "phrase", "k", F.col("f").alias("a"))
     cuts = long.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
@@ -284,8 +333,8 @@ def collocations(docs: DataFrame) -> DataFrame:
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     for salts in (partitions(spark), 8):
         some = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)))
-        kept = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= TOP).drop("salt", "rank")
-    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= TOP)
+        kept = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top).drop("salt", "rank")
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     ranked = ranked.join(table.where("k = 0").select("lang", F.col("f").alias("n")), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
     result = materialize(ranked)
     discard(table)

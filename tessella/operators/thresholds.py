@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.aggregates import confidence_quantile, foreground_stats, top_half_mean
-from tessella.operators.windows import ema_fold
+from tessella.operators.scan import Affine, ordered_scan
+from tessella.operators.windows import ema_fold, ema_step
 
 
 def _clamped(v: Column, low: float, high: float) -> Column:
@@ -28,12 +29,12 @@ def sigma_threshold(df: DataFrame, avg_objects: float, step: str = "step", burn_
     """(step, mu, sigma, threshold): running mean and deviation of foreground scores; tau = mu - k * sigma, blended in from
     the source threshold over ``warm_up`` steps, averaged with it when further than ``check`` away, clamped."""
     stats = foreground_stats(df, avg_objects, step).withColumn("_run", F.lit(0))
-    mu = ema_fold(stats, ["_run"], step, "mu", init_mu, momentum).select(step, F.col("ema").alias("mu"))
-    sigma = ema_fold(stats, ["_run"], step, "sigma", init_sigma, momentum).select(step, F.col("ema").alias("sigma"))
+    run = ordered_scan(stats, ["_run"], step, {"_mu": ema_step("mu", momentum), "_sigma": ema_step("sigma", momentum)})
+    both = run.select(step, Affine.apply(F.col("_mu"), init_mu).alias("mu"), Affine.apply(F.col("_sigma"), init_sigma).alias("sigma"))
     w = _clamped((F.col(step) - burn_in + 1) / float(warm_up), 0.0, 1.0)
     tau = w * (F.col("mu") - k * F.col("sigma")) + (1 - w) * source
     far = (F.abs(tau - source) > check) if check > 0 else F.lit(False)
-    return mu.join(sigma, step).withColumn("threshold", _clamped(F.when(far, (tau + source) / 2).otherwise(tau), low, high))
+    return both.withColumn("threshold", _clamped(F.when(far, (tau + source) / 2).otherwise(tau), low, high))
 
 
 def class_threshold(df: DataFrame, step: str, cls: str, score: str, tie: str, present: DataFrame, low: float = 0.30, init: float = 0.35, high: float = 0.55, gamma: float = 0.95, a: float = 0.8, b: float = 1.0) -> DataFrame:

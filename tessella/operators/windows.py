@@ -1,10 +1,14 @@
-"""Window functions and ordered folds over runs, epochs and scores."""
+"""Window functions and ordered scans over runs, epochs and scores."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.scan import Affine, Automaton, Last, Trail, ordered_scan
+
 
 def smoothed_meter(df: DataFrame, keys: list[str], order: str, value: str, k: int = 20) -> DataFrame:
     """Over the last k updates: lower median, mean, max, last value; and the mean over all so far."""
@@ -60,38 +64,29 @@ def best_so_far(df: DataFrame, score: str, passes: Column, run: str = "run_id",
 
 def fill_and_smooth(df: DataFrame, value: str, com: float, run: str = "run_id", order: str = "epoch") -> DataFrame:
     """filled: gaps on the line between their neighbours, later ones at the last value; smoothed: exponentially weighted
-    mean with alpha = 1 / (1 + com) and adjusted weights. Leading gaps stay NULL."""
-    w = Window.partitionBy(run).orderBy(order)
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
-    before, after = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    at = df.withColumn("_b", before).withColumn("_a", after)
-    line = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * (F.col(order) - F.col("_b.o")) / (F.col("_a.o") - F.col("_b.o"))
-    filled = at.withColumn("filled", F.coalesce(F.col(value), F.when(F.col("_b").isNotNull() & F.col("_a").isNotNull(), line), F.col("_b.v"))).drop("_a", "_b")
-    keep = com / (1 + com)
-    start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.array().cast("array<double>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        num = F.when(x["v"].isNull(), s["num"] * keep).otherwise(s["num"] * keep + x["v"])
-        den = F.when(x["v"].isNull(), s["den"] * keep).otherwise(s["den"] * keep + 1)
-        return F.struct(num.alias("num"), den.alias("den"), F.array_append(s["out"], F.try_divide(num, den)).alias("out"))
-
-    folded = filled.groupBy(run).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("filled").alias("v"), F.col(value).alias("raw")))).alias("s"))
-    zipped = folded.select(run, F.explode(F.arrays_zip(F.col("s"), F.aggregate("s", start, step)["out"].alias("e"))).alias("z"))
-    return zipped.select(run, F.col("z.s.o").alias(order), F.col("z.s.raw").alias(value), F.col("z.s.v").alias("filled"), F.col("z.e").alias("smoothed"))
+    mean with alpha = 1 / (1 + com) and adjusted weights. Leading gaps stay NULL. Three parallel scans, whatever a run's length."""
+    known = (Last, Last.step(F.col(value), F.col(order)))
+    near = ordered_scan(ordered_scan(df.select(run, order, value), [run], order, {"_b": known}), [run], order, {"_a": known}, descending=True)
+    (b, bo), (a, ao) = ((Last.value(F.col(n)), Last.order(F.col(n))) for n in ("_b", "_a"))
+    line = b + (a - b) * (F.col(order) - bo) / (ao - bo)
+    filled = near.withColumn("filled", F.coalesce(F.col(value), F.when(a.isNotNull() & b.isNotNull(), line), b)).drop("_a", "_b")
+    keep, free = F.lit(com / (1 + com)), [F.lit(-math.inf), F.lit(math.inf)]
+    sums = {"_num": (Affine, [keep, F.coalesce("filled", F.lit(0.0)), *free]), "_den": (Affine, [keep, F.col("filled").isNotNull().cast("double"), *free])}
+    done = ordered_scan(filled, [run], order, sums)
+    return done.select(run, order, value, "filled", F.try_divide(*[Affine.apply(F.col(n), 0.0) for n in sums]).alias("smoothed"))
 
 
-def ema_fold(df: DataFrame, keys: list[str], order: str, value: str, start: float, momentum: float, low: float | None = None, high: float | None = None) -> DataFrame:
-    """Running v <- m v + (1 - m) x in order, clamped at every step where bounds are given; NULL values leave v as it is.
-    One key's steps are folded in one row: bounded by the steps of a run."""
-    bound = lambda v: F.greatest(F.least(v, F.lit(high)), F.lit(low)) if low is not None else v
+def ema_step(value: str, momentum: float, low: float | None = None, high: float | None = None) -> tuple:
+    """A step of the running mean for ordered_scan."""
+    x = F.col(value).cast("double")
+    return Affine, Affine.step(x, momentum, x * (1 - momentum), -math.inf if low is None else low, math.inf if high is None else high)
 
-    def step(s: Column, x: Column) -> Column:
-        v = F.when(x["v"].isNull(), s["v"]).otherwise(bound(s["v"] * momentum + x["v"] * (1 - momentum)))
-        return F.struct(v.alias("v"), F.array_append(s["out"], v).alias("out"))
 
-    seq = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("s"))
-    run = F.aggregate("s", F.struct(F.lit(float(start)).alias("v"), F.array().cast("array<double>").alias("out")), step)["out"]
-    return seq.select(*keys, F.explode(F.arrays_zip(F.col("s"), run.alias("e"))).alias("z")).select(*keys, F.col("z.s.o").alias(order), F.col("z.s.v").alias(value), F.col("z.e").alias("ema"))
+def ema_fold(df: DataFrame, keys: list[str], order: str, value: str, start: float, momentum: float, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Running v <- m v + (1 - m) x in order, clamped at every step where bounds are given; NULL and NaN leave v as it is. A
+    parallel scan: a run may be of any length."""
+    run = ordered_scan(df.select(*keys, order, F.col(value).cast("double").alias(value)), keys, order, {"_v": ema_step(value, momentum, low, high)})
+    return run.select(*keys, order, value, Affine.apply(F.col("_v"), start).alias("ema"))
 
 
 def retrain_policy(log: DataFrame, burn_in: int = 30, cooldown: int = 6, drop: float = 0.03, low_mean: float = 0.26, low_kept: float = 0.55, gate: bool = True) -> DataFrame:
@@ -101,20 +96,24 @@ def retrain_policy(log: DataFrame, burn_in: int = 30, cooldown: int = 6, drop: f
     30. Due by event: conf_mean of the epoch before fell at least ``drop`` under the best before it. A due epoch within
     ``cooldown`` of the last retraining is skipped; else an event fires past the gate; else the gate decides: the epoch
     before must exist and have conf_mean <= low_mean or conf_kept <= low_kept; a gate that is off passes.
+
+    Two parallel scans: what is known of the epochs before; then a machine whose state is the epochs since the last
+    retraining, up to ``cooldown``, so a row's step is a table of cooldown + 1 states.
     """
-    w = Window.partitionBy("run_id").orderBy("epoch")
-    before = epoch_context(log).withColumn("best_earlier", F.max("prev_conf_mean").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    past = {"_m": (Trail, Trail.step(F.col("conf_mean"))), "_k": (Trail, Trail.step(F.col("conf_kept"))), "_e": (Last, Last.step(F.col("epoch"), F.col("epoch")))}
+    rows = ordered_scan(log.select("run_id", "epoch", "conf_mean", "conf_kept"), ["run_id"], "epoch", past, before=tuple(past))
+    mean, kept, best = Trail.last(F.col("_m")), Trail.last(F.col("_k")), Trail.greatest(F.col("_m"))
     stage = F.col("epoch") - burn_in
     every = F.when(F.col("epoch") <= 60, 15).when(F.col("epoch") <= 120, 20).otherwise(30)
     schedule = (stage > 0) & (stage % every == 0)
-    event = (stage > 0) & F.coalesce(F.col("best_earlier") - F.col("prev_conf_mean") >= drop, F.lit(False))
-    passes = F.coalesce((F.col("prev_conf_mean") <= low_mean) | (F.col("prev_conf_kept") <= low_kept), F.lit(False)) if gate else F.lit(True)
-    rows = before.select("run_id", F.struct("epoch", schedule.alias("s"), event.alias("e"), passes.alias("g")).alias("x")).groupBy("run_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
-
-    def step(s: Column, x: Column) -> Column:
-        action = F.when(~(x["s"] | x["e"]), "none").when(x["epoch"] - s["last"] < cooldown, "skip_cooldown").when(x["e"], "retrain_event").when(x["g"], "retrain_schedule").otherwise("skip_gate")
-        return F.struct(F.when(action.startswith("retrain"), x["epoch"]).otherwise(s["last"]).alias("last"), F.array_append(s["out"], action).alias("out"))
-
-    start = F.struct(F.lit(-1_000_000_000).alias("last"), F.array().cast("array<string>").alias("out"))
-    out = rows.select("run_id", F.explode(F.arrays_zip(F.col("x"), F.aggregate("x", start, step)["out"].alias("a"))).alias("z"))
-    return out.select("run_id", F.col("z.x.epoch").alias("epoch"), F.col("z.x.s").alias("schedule_due"), F.col("z.x.e").alias("event_due"), F.col("z.a").alias("action"))
+    event = (stage > 0) & F.coalesce(best - mean >= drop, F.lit(False))
+    passes = F.coalesce((mean <= low_mean) | (kept <= low_kept), F.lit(False)) if gate else F.lit(True)
+    gap = F.coalesce(F.col("epoch") - Last.value(F.col("_e")), F.lit(float(cooldown)))
+    rows = rows.select("run_id", "epoch", schedule.alias("schedule_due"), event.alias("event_due"), passes.alias("_g"), gap.alias("_gap"))
+    due = F.col("schedule_due") | F.col("event_due")
+    since = lambda s: F.least(s + F.col("_gap"), F.lit(float(cooldown)))
+    table = [F.when(due & (F.col("event_due") | F.col("_g")) & (since(F.lit(s)) >= cooldown), 0.0).otherwise(since(F.lit(s))) for s in range(cooldown + 1)]
+    done = ordered_scan(rows, ["run_id"], "epoch", {"_s": (Automaton(cooldown + 1), table)}, before=("_s",))
+    waits = since(F.col("_s")[f"s{cooldown}"]) < cooldown
+    action = F.when(~due, "none").when(waits, "skip_cooldown").when(F.col("event_due"), "retrain_event").when(F.col("_g"), "retrain_schedule").otherwise("skip_gate")
+    return done.select("run_id", "epoch", "schedule_due", "event_due", action.alias("action"))

@@ -32,6 +32,9 @@ VIEWS = {
           CAST(0.4 AS DOUBLE) + CAST((event_id*7919) % 1000 AS DOUBLE)/2500 AS conf_kept,
           CAST((event_id*31) % 40 AS DOUBLE)/2 AS n_pseudo, CAST(0.3 AS DOUBLE) + CAST((event_id*13) % 100 AS DOUBLE)/1000 AS src_ap,
           CAST((event_id*17) % 1000 AS DOUBLE)/1000 AS stability FROM events) e""",
+    # one run has a third of all rows, the others are short
+    "fx_long_epochs": """SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY event_id) - 1 AS INT) AS epoch, conf_kept FROM (
+        SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE CAST(floor(event_id / 100.0) AS BIGINT) END AS run_id, CAST(0.4 AS DOUBLE) + CAST((event_id*7919) % 1000 AS DOUBLE)/2500 AS conf_kept FROM events) e""",
     "fx_segments": """SELECT image_id, pred_seg, gt_seg, CAST(pred_seg % 3 AS INT) AS pred_cat, CAST(gt_seg % 3 AS INT) AS gt_cat,
         count(*) AS pixels FROM (SELECT o_custkey AS image_id, l_linenumber AS pred_seg,
           CASE WHEN l_partkey % 5 = 0 THEN l_linenumber + 1 ELSE l_linenumber END AS gt_seg

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import aggregates as A
 from tessella.operators import thresholds, windows
-from tessella.plans.registry import query, r6, r9
+from tessella.plans.registry import off_half, query, r6, r9
 from tessella.sources import logs
 from tessella.sources.shared import shared_dir
 from tessella.streaming import meters
@@ -109,17 +109,24 @@ def _(fx):
   f AS (SELECT run_id, epoch, coalesce(src_ap, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN b.v + (a.v - b.v)*CAST(epoch - b.o AS DOUBLE)/(a.o - b.o) END, b.v) AS filled FROM k),
   e(run_id, epoch, filled, num, den) AS (SELECT run_id, epoch, filled, CAST(coalesce(filled, 0) AS DOUBLE), CAST(CASE WHEN filled IS NULL THEN 0 ELSE 1 END AS DOUBLE) FROM f WHERE epoch = 0
     UNION ALL SELECT f.run_id, f.epoch, f.filled, e.num*2.0/3 + coalesce(f.filled, 0), e.den*2.0/3 + CASE WHEN f.filled IS NULL THEN 0 ELSE 1 END FROM e JOIN f ON f.run_id = e.run_id AND f.epoch = e.epoch + 1)
-  SELECT run_id, epoch, round(filled, 6) AS filled, round(CASE WHEN den > 0 THEN num/den END, 6) AS smoothed FROM e""")
+  SELECT run_id, epoch, round(filled + 1e-12, 9) AS filled, round(CASE WHEN den > 0 THEN num/den END + 1e-12, 9) AS smoothed FROM e""")
 def _(fx):
-    return windows.fill_and_smooth(fx.epochs, "src_ap", 2.0).select("run_id", "epoch", r6(c("filled")).alias("filled"), r6(c("smoothed")).alias("smoothed"))
+    return windows.fill_and_smooth(fx.epochs, "src_ap", 2.0).select("run_id", "epoch", off_half(c("filled")).alias("filled"), off_half(c("smoothed")).alias("smoothed"))
 
 
 EMA = """e(run_id, epoch, ema) AS (SELECT run_id, -1, CAST(0.4 AS DOUBLE) FROM fx_epochs GROUP BY run_id UNION ALL SELECT f.run_id, f.epoch, greatest(least(e.ema*0.95 + f.conf_kept*0.05, 0.65), 0.35) FROM e JOIN fx_epochs f ON f.run_id = e.run_id AND f.epoch = e.epoch + 1)"""
 
 
-@query("f10_ema_fold", f"WITH RECURSIVE {EMA} SELECT run_id, epoch, round(ema, 6) AS ema FROM e WHERE epoch >= 0")
+@query("f10_ema_fold", f"WITH RECURSIVE {EMA} SELECT run_id, epoch, round(ema + 1e-12, 9) AS ema FROM e WHERE epoch >= 0")
 def _(fx):
-    return windows.ema_fold(fx.epochs, ["run_id"], "epoch", "conf_kept", 0.4, 0.95, 0.35, 0.65).select("run_id", "epoch", r6(c("ema")).alias("ema"))
+    return windows.ema_fold(fx.epochs, ["run_id"], "epoch", "conf_kept", 0.4, 0.95, 0.35, 0.65).select("run_id", "epoch", off_half(c("ema")).alias("ema"))
+
+
+@query("f10_long_run", """WITH RECURSIVE e(run_id, epoch, ema) AS (SELECT run_id, -1, CAST(0.4 AS DOUBLE) FROM fx_long_epochs GROUP BY run_id UNION ALL SELECT f.run_id, f.epoch, greatest(least(e.ema*0.95 + f.conf_kept*0.05, 0.65), 0.35)
+  FROM e JOIN fx_long_epochs f ON f.run_id = e.run_id AND f.epoch = e.epoch + 1) SELECT run_id, epoch, round(ema + 1e-12, 9) AS ema FROM e WHERE epoch >= 0""")
+def _(fx):
+    """A third of all rows is one run."""
+    return windows.ema_fold(fx.long_epochs, ["run_id"], "epoch", "conf_kept", 0.4, 0.95, 0.35, 0.65).select("run_id", "epoch", off_half(c("ema")).alias("ema"))
 
 
 @query("f11_retrain_policy", """WITH RECURSIVE p AS (SELECT *, lag(conf_mean) OVER w AS pm, lag(conf_kept) OVER w AS pk FROM fx_epochs WINDOW w AS (PARTITION BY run_id ORDER BY epoch)),
@@ -146,28 +153,28 @@ def _(fx):
 
 @query("t7_quantile_threshold", """WITH RECURSIVE q AS (SELECT det_id % 10 AS step, quantile_cont(score, 0.94) AS q FROM fx_detections GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY step) AS k FROM q),
   e(step, k, ema) AS (SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0.4 AS DOUBLE) UNION ALL SELECT n.step, n.k, greatest(least(e.ema*0.95 + n.q*0.05, 0.65), 0.35) FROM e JOIN n ON n.k = e.k + 1)
-  SELECT step, round(ema, 6) AS ema, round(greatest(least(0.2*0.4 + 0.8*ema, 0.65), 0.35), 6) AS threshold FROM e WHERE k > 0""")
+  SELECT step, round(ema + 1e-12, 9) AS ema, round(greatest(least(0.2*0.4 + 0.8*ema, 0.65), 0.35) + 1e-12, 9) AS threshold FROM e WHERE k > 0""")
 def _(fx):
     d = thresholds.quantile_threshold(fx.detections.select((c("det_id") % 10).alias("step"), "score", F.lit(0).alias("run")), ["run"], "step", "score")
-    return d.select("step", r6(c("ema")).alias("ema"), r6(c("threshold")).alias("threshold"))
+    return d.select("step", off_half(c("ema")).alias("ema"), off_half(c("threshold")).alias("threshold"))
 
 
 @query("t8_sigma_threshold", """WITH RECURSIVE s AS (SELECT det_id % 10 AS step, avg(score) FILTER (score > 0.25) AS a, stddev_pop(score) FILTER (score > 0.25) AS b FROM fx_detections GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY step) AS k FROM s),
   e(step, k, mu, sd) AS (SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0.4 AS DOUBLE), CAST(0.1 AS DOUBLE) UNION ALL SELECT n.step, n.k, e.mu*0.99 + n.a*0.01, e.sd*0.99 + n.b*0.01 FROM e JOIN n ON n.k = e.k + 1),
   t AS (SELECT step, mu, sd, least((step+1)/10.0, 1)*(mu - sd) + (1 - least((step+1)/10.0, 1))*0.4 AS tau FROM e WHERE k > 0)
-  SELECT step, round(mu, 6) AS mu, round(sd, 6) AS sigma, round(greatest(least(CASE WHEN abs(tau-0.4) > 0.3 THEN (tau+0.4)/2 ELSE tau END, 0.75), 0.40), 6) AS threshold FROM t""")
+  SELECT step, round(mu + 1e-12, 9) AS mu, round(sd + 1e-12, 9) AS sigma, round(greatest(least(CASE WHEN abs(tau-0.4) > 0.3 THEN (tau+0.4)/2 ELSE tau END, 0.75), 0.40) + 1e-12, 9) AS threshold FROM t""")
 def _(fx):
     d = thresholds.sigma_threshold(fx.detections.withColumn("step", c("det_id") % 10), 2.0)
-    return d.select("step", *[r6(c(k)).alias(k) for k in ("mu", "sigma", "threshold")])
+    return d.select("step", *[off_half(c(k)).alias(k) for k in ("mu", "sigma", "threshold")])
 
 
 @query("t9_class_threshold", """WITH RECURSIVE r AS (SELECT category_id, det_id % 10 AS step, score, row_number() OVER (PARTITION BY category_id, det_id % 10 ORDER BY score DESC, det_id) AS k, count(*) OVER (PARTITION BY category_id, det_id % 10) AS n FROM fx_detections),
   m AS (SELECT category_id, step, 0.8*avg(score) AS m, row_number() OVER (PARTITION BY category_id ORDER BY step) AS i FROM r WHERE k <= greatest(floor(n/2), 1) GROUP BY category_id, step),
   e(category_id, step, i, ema) AS (SELECT category_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0.35 AS DOUBLE) FROM m GROUP BY category_id UNION ALL SELECT m.category_id, m.step, m.i, greatest(least(e.ema*0.95 + m.m*0.05, 0.55), 0.30) FROM e JOIN m ON m.category_id = e.category_id AND m.i = e.i + 1)
-  SELECT category_id, step, round(ema, 6) AS threshold FROM e WHERE i > 0""")
+  SELECT category_id, step, round(ema + 1e-12, 9) AS threshold FROM e WHERE i > 0""")
 def _(fx):
     d = thresholds.class_threshold(fx.detections.withColumn("step", c("det_id") % 10), "step", "category_id", "score", "det_id", fx.objects)
-    return d.select("category_id", "step", r6(c("ema")).alias("threshold"))
+    return d.select("category_id", "step", off_half(c("ema")).alias("threshold"))
 
 
 @query("s1_running_meters", """SELECT metric, step, round(list_sort(v)[CAST(floor((len(v)+1)/2) AS INT)], 9) AS median, round(list_avg(v), 9) AS mean, round(g, 9) AS global_mean FROM (
@@ -180,12 +187,12 @@ def _(fx):
     return d.select("metric", "step", *[r9(c(k)).alias(k) for k in ("median", "mean", "global_mean")])
 
 
-@query("s2_running_threshold", f"WITH RECURSIVE {EMA} SELECT CAST(run_id AS VARCHAR) AS stream, CAST(epoch AS BIGINT) AS step, round(ema, 6) AS ema FROM e WHERE epoch >= 0")
+@query("s2_running_threshold", f"WITH RECURSIVE {EMA} SELECT CAST(run_id AS VARCHAR) AS stream, CAST(epoch AS BIGINT) AS step, round(ema + 1e-12, 9) AS ema FROM e WHERE epoch >= 0")
 def _(fx):
     path = scratch(fx)
     fx.epochs.select(c("run_id").cast("string").alias("stream"), c("epoch").cast("long").alias("step"), c("conf_kept").alias("quantile")).write.parquet(f"{path}/in")
     stream = fx.spark.readStream.schema("stream string, step long, quantile double").parquet(f"{path}/in")
-    return meters.drain(meters.running_threshold(stream), fx.spark, path).select("stream", "step", r6(c("ema")).alias("ema"))
+    return meters.drain(meters.running_threshold(stream), fx.spark, path).select("stream", "step", off_half(c("ema")).alias("ema"))
 
 
 @query("s3_deduplicated_results", "SELECT DISTINCT image_id FROM fx_detections")

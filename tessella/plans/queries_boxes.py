@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import boxes as B
 from tessella.operators import aggregates as A
 from tessella.operators import evaluation, filters, joins, suppression, windows
-from tessella.plans.registry import b, query, r6
+from tessella.plans.registry import b, greedy_sql, query, r6
 from tessella.sources import coco
 from tessella.sources.shared import shared_dir
 
@@ -309,7 +309,8 @@ def _(fx):
     return d.select("det_id", r6(c("b.score")).alias("score"), "b.class_id", c("f.class_id").alias("first_only"))
 
 
-@query("p1_box_nms")
+@query("p1_box_nms", greedy_sql("image_id", "det_id", "SELECT image_id, det_id, score FROM fx_detections",
+  f"SELECT a.image_id, a.det_id, b.det_id AS better FROM fx_detections a JOIN fx_detections b ON a.image_id = b.image_id AND (b.score > a.score OR (b.score = a.score AND b.det_id < a.det_id)) WHERE {PAIR_IOU} > 0.4"))
 def _(fx):
     return suppression.box_nms(b(fx.detections), 0.4).select("image_id", "det_id", r6(c("score")).alias("score"))
 

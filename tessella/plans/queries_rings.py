@@ -8,7 +8,7 @@ from tessella.functions import geo
 from tessella.functions import rings as R
 from tessella.operators import aggregates as A
 from tessella.operators import etl, filters, suppression
-from tessella.plans.registry import b, query, r6
+from tessella.plans.registry import b, greedy_sql, query, r6
 from tessella.sources import coco
 
 c = F.col
@@ -208,13 +208,32 @@ def _(fx):
     return d.select("image_id", "id", F.size("ring").alias("n"), F.aggregate("corners", F.lit(0), lambda s, v: s + v).alias("n_corners"), r6(R.polygon_area(c("ring"))).alias("area"))
 
 
-@query("p4_polygon_iou")
+#: Columns lo..hi-1 of each grid row whose centres lie in a ring, by crossings of its edges; pairs by common columns.
+SPANS = """g AS (SELECT image_id, ann_id AS id, greatest(8, width//4) AS cols, greatest(8, height//4) AS rws, width, height, ring FROM fx_rings JOIN fx_images USING (image_id)),
+  p AS (SELECT image_id, id, cols, rws, [{'x': v.x*(cols/greatest(width, 1)), 'y': v.y*(rws/greatest(height, 1))} for v in ring] AS pts FROM g),
+  u AS MATERIALIZED (SELECT image_id, id, cols, rws, pts, unnest(range(1, len(pts) + 1)) AS k FROM p),
+  e AS MATERIALIZED (SELECT image_id, id, cols, rws, pts[k].x AS ax, pts[k].y AS ay, pts[k % len(pts) + 1].x AS ex, pts[k % len(pts) + 1].y AS ey FROM u),
+  x AS (SELECT image_id, id, cols, r, ax + (r + 0.5 - ay)*(ex - ax)/(ey - ay) AS v FROM e JOIN range(4096) t(r) ON r < rws AND (ay > r + 0.5) <> (ey > r + 0.5)),
+  o AS (SELECT *, row_number() OVER w AS k, lead(v) OVER w AS n FROM x WINDOW w AS (PARTITION BY id, r ORDER BY v)),
+  s AS (SELECT image_id, id, r, CAST(greatest(ceil(v - 0.5), 0) AS INT) AS lo, CAST(least(ceil(n - 0.5), cols) AS INT) AS hi FROM o WHERE k % 2 = 1),
+  area AS (SELECT id, sum(hi - lo) AS n FROM s WHERE hi > lo GROUP BY id),
+  pairs AS (SELECT a.image_id, a.id AS id_a, b.id AS id_b, sum(least(a.hi, b.hi) - greatest(a.lo, b.lo)) AS n FROM s a JOIN s b ON a.image_id = b.image_id AND a.r = b.r AND a.id < b.id
+    WHERE least(a.hi, b.hi) > greatest(a.lo, b.lo) GROUP BY ALL),
+  iou AS (SELECT p.image_id, id_a, id_b, CAST(p.n AS DOUBLE)/(a.n + b.n - p.n) AS iou FROM pairs p JOIN area a ON a.id = id_a JOIN area b ON b.id = id_b)"""
+
+
+@query("p4_polygon_iou", f"WITH {SPANS} SELECT image_id, id_a, id_b, round(iou, 6) AS iou FROM iou")
 def _(fx):
     d = from_image(fx).select("image_id", c("ann_id").alias("id"), "ring", "width", "height")
     return suppression.polygon_iou(d).select("image_id", "id_a", "id_b", r6(c("iou")).alias("iou"))
 
 
-@query("p5_polygon_nms")
+RING_SCORES = "SELECT image_id, ann_id AS id, CAST((ann_id*7919) % 99991 AS DOUBLE)/99991 AS score FROM fx_rings"
+
+
+@query("p5_polygon_nms", greedy_sql("image_id", "id", RING_SCORES, f"""WITH {SPANS}, sc AS ({RING_SCORES})
+  SELECT i.image_id, CASE WHEN a.score > b.score OR (a.score = b.score AND a.id < b.id) THEN b.id ELSE a.id END AS id, CASE WHEN a.score > b.score OR (a.score = b.score AND a.id < b.id) THEN a.id ELSE b.id END AS better
+  FROM iou i JOIN sc a ON a.id = id_a JOIN sc b ON b.id = id_b WHERE iou >= 0.3"""))
 def _(fx):
     d = from_image(fx).select("image_id", c("ann_id").alias("id"), "ring", "width", "height", ((c("ann_id") * 7919) % 99991 / 99991).alias("score"))
     return suppression.polygon_nms(d).select("image_id", "id", r6(c("score")).alias("score"))

@@ -45,4 +45,15 @@ def b(df: DataFrame, name: str = "box") -> DataFrame:
     return df.withColumn(name, box_from_xywh(*[F.col(k) for k in "xywh"]))
 
 
+def greedy_sql(group: str, det: str, rows: str, clashes: str) -> str:
+    """Greedy suppression as one recursion over the ranks within each group: what has been kept so far travels as a list.
+    ``rows`` gives (group, det, score), ``clashes`` (group, det, better)."""
+    return f"""WITH RECURSIVE clash AS ({clashes}), bad AS (SELECT {group}, {det}, list(better) AS bad FROM clash GROUP BY ALL),
+  ranked AS (SELECT r.*, row_number() OVER (PARTITION BY r.{group} ORDER BY r.score DESC, r.{det}) AS k, coalesce(bad, []) AS bad FROM ({rows}) r LEFT JOIN bad b ON b.{group} = r.{group} AND b.{det} = r.{det}),
+  walk({group}, k, {det}, score, stays, kept) AS (SELECT DISTINCT {group}, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS DOUBLE), false, CAST([] AS BIGINT[]) FROM ranked
+    UNION ALL SELECT r.{group}, r.k, r.{det}, r.score, NOT list_has_any(w.kept, r.bad), CASE WHEN list_has_any(w.kept, r.bad) THEN w.kept ELSE list_append(w.kept, r.{det}) END
+    FROM walk w JOIN ranked r ON r.{group} = w.{group} AND r.k = w.k + 1)
+  SELECT {group}, {det}, round(score, 6) AS score FROM walk WHERE stays"""
+
+
 from tessella.plans import queries_boxes, queries_logs, queries_rings, queries_sets  # noqa: E402, F401

@@ -17,6 +17,7 @@ from tessella.plans import registry
 from tessella.plans.fixtures import Fixtures
 from tessella.sources import coco, logs
 from tessella.streaming import meters
+from tests.brute import cells_iou, fill_cells
 
 c = F.col
 
@@ -118,8 +119,8 @@ def test_polygon_queries_run_on_whole_tables(spark, sf_dir):
     drawn = {r.id for r in registry.QUERIES["p3_extract_polygon"](spark, sf_dir).select("id").collect()}
     assert drawn == {r.det_id for r in fx.detections.select("det_id").collect()}
     rings = fx.rings.join(fx.images, "image_id").where("image_id <= 8").orderBy("ann_id").collect()
-    cells = [(r.image_id, r.ann_id, suppression.fill_cells(r.ring, r.width, r.height, 4)) for r in rings]
-    want = {(i, a, b): v for (i, a, p), (j, b, q) in itertools.combinations(cells, 2) if i == j and (v := suppression.cells_iou(p, q)) > 0}
+    cells = [(r.image_id, r.ann_id, fill_cells(r.ring, r.width, r.height, 4)) for r in rings]
+    want = {(i, a, b): v for (i, a, p), (j, b, q) in itertools.combinations(cells, 2) if i == j and (v := cells_iou(p, q)) > 0}
     got = {(r.image_id, r.id_a, r.id_b): r.iou for r in registry.QUERIES["p4_polygon_iou"](spark, sf_dir).where("image_id <= 8").collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want) and len(want) > 50
 

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm.fitting import fold, labelled_sample, logistic, sigmoid
 
-#: Bounds of the fit: labelled rows for each class, blocks that a text gives to a dictionary (spread over all of it), bytes of
-#: a dictionary.
-SAMPLE_ROWS, SAMPLE_BLOCKS, DICTIONARY_BYTES = 3000, 30, 64_000
+#: Bounds of the fit: labelled rows of each class, labelled blocks of each class that make a dictionary (chosen by a hash from
+#: all blocks of these rows), bytes of a dictionary, and of samples for each of its bytes.
+SAMPLE_ROWS, SAMPLE_BLOCKS, DICTIONARY_BYTES, SAMPLES = 3000, 10_000, 64_000, 20
 #: Texts are compressed in blocks, so that the dictionary and not the text's own start explains each of them.
 BLOCK, LEVEL = 2048, 3
 
@@ -23,21 +23,17 @@ def blocks(data: bytes) -> list[bytes]:
     return [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
 
 
-def spread(data: bytes) -> list[bytes]:
-    """Up to SAMPLE_BLOCKS blocks at even distances over the whole text."""
-    all_blocks = blocks(data)
-    return [all_blocks[i] for i in sorted({round(k * (len(all_blocks) - 1) / (SAMPLE_BLOCKS - 1)) for k in range(SAMPLE_BLOCKS)})] if all_blocks else []
-
-
 def dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary trained on blocks; their plain end where there is too little to train on."""
-    samples = [b for b in samples if len(b) >= 64]
-    if sum(map(len, samples)) >= 20 * DICTIONARY_BYTES:
+    """A dictionary trained on blocks, as large as they can fill; where they are too few to train on, their own beginnings,
+    the same share of each."""
+    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // SAMPLES)
+    if size >= 1024:
         try:
-            return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=200, d=8).as_bytes()
+            return zstandard.train_dictionary(size, samples, k=200, d=8).as_bytes()
         except zstandard.ZstdError:
-            pass
-    return b"".join(samples)[-DICTIONARY_BYTES:] or b" " * 64
+            pass  # too few blocks, or all alike
+    share = min(1.0, DICTIONARY_BYTES / max(1, sum(map(len, samples))))
+    return b"".join(b[: int(len(b) * share)] for b in samples) or b" " * 64
 
 
 class Sizes:
@@ -57,17 +53,19 @@ class Sizes:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column) -> tuple[bytes, bytes, list[float]]:
     """(good dictionary, bad dictionary, logistic weights). Half of the bounded sample trains the dictionaries, the
-    other half calibrates on whole texts: a text in the dictionary would look better than it is. Only blocks and two
-    numbers for each text reach the driver. Without any labels the score is 0.5."""
+    other half calibrates on whole texts: a text in the dictionary would look better than it is. At most SAMPLE_BLOCKS blocks a
+    class, and two numbers for each text of the other half, reach the driver. Without any labels the score is 0.5."""
     sample = labelled_sample(docs, labels, label, keep, {0: SAMPLE_ROWS, 1: SAMPLE_ROWS})
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [spread(t.as_py().encode("utf-8", "replace")) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(got, pa.list_(pa.binary()))], names=["doc_id", "label", "blocks"])
+            for label, text in zip(batch.column(0), batch.column(1)):
+                got = blocks(text.as_py().encode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([pa.array([label.as_py()] * len(got), pa.int32()), pa.array(got, pa.binary())], names=["label", "block"])
 
-    given = sorted(sample.where("part < 2").select("doc_id", "label", "text").mapInArrow(some, "doc_id long, label int, blocks array<binary>").collect(), key=lambda r: r.doc_id)
-    good, bad = (dictionary([bytes(b) for r in given if r.label == v for b in r.blocks]) for v in (1, 0))
+    cut = sample.where("part < 2").select("label", "text").mapInArrow(some, "label int, block binary")
+    taken = [[bytes(r.block) for r in cut.where(F.col("label") == v).orderBy(F.xxhash64("block"), "block").limit(SAMPLE_BLOCKS).collect()] for v in (1, 0)]
+    good, bad = map(dictionary, taken)
     shared = docs.sparkSession.sparkContext.broadcast((good, bad))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

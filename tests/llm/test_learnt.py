@@ -69,6 +69,31 @@ def test_quality_against_plain_compression(spark, labelled):
         assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
 
 
+def test_quality_dictionaries_of_whole_texts(spark, labelled, monkeypatch):
+    """Dictionaries are those of the blocks with the smallest hashes, from every part of every learnt text."""
+    import xxhash
+
+    docs, labels = labelled
+    some = docs.where("doc_id < 90").withColumn("text", F.repeat(F.concat("text", F.lit(" "), F.col("doc_id")), 12))
+    for most in (10**6, 25):
+        monkeypatch.setattr(compression, "SAMPLE_BLOCKS", most)
+        good, bad, _ = compression.fit(some, labels, "quality", F.lit(True))
+        sample = compression.labelled_sample(some, labels, "quality", F.lit(True), {0: 3000, 1: 3000}).where("part < 2").collect()
+        for label, found in ((1, good), (0, bad)):
+            cut = [d[i : i + 2048] for r in sample if r.label == label for d in [r.text.encode()] for i in range(0, len(d), 2048)]
+            signed = lambda b: (xxhash.xxh64_intdigest(b, seed=42) + 2**63) % 2**64
+            assert found == compression.dictionary(sorted(cut, key=lambda b: (signed(b), b))[:most]) and len(found) > 1000
+
+
+def test_dictionary_of_little_text():
+    """A dictionary fits its samples; alike or few blocks are used as they are."""
+    few = [b"%d good words of a text " % i * 9 for i in range(6)]
+    assert compression.dictionary([]) and compression.dictionary(few) == b"".join(few)
+    assert compression.dictionary([b"x" * 2048] * 50)
+    many = [bytes([i % 256, j % 251]) * 300 + b"common end of all" for i in range(40) for j in range(9)]
+    assert 64 < len(compression.dictionary(many)) <= sum(map(len, many)) // compression.SAMPLES
+
+
 def test_toxicity_on_held_out_rows(labelled):
     docs, labels = labelled
     held = fold(F.col("doc_id"), 5) == 0

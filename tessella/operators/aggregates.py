@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.boxes import box_iou
+from tessella.operators.joins import box_pairs
+from tessella.operators.selection import ranked_value
+
+#: Least IoU of boxes that overlap.
+OVERLAP = 1e-12
 
 
 def avg_objects_per_image(images: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -22,16 +26,28 @@ def global_average(df: DataFrame, key: str, value: str, weight: str) -> DataFram
 
 
 def confidence_quantile(df: DataFrame, keys: list[str], score: str, q: float, approximate: bool = False) -> DataFrame:
-    """Linear-interpolated quantile, q held within [0.5, 0.99]; the approximate one merges sketches, for huge groups."""
+    """Linear-interpolated quantile, q held within [0.5, 0.99], by histogram refinement: exact for groups of any size; the
+    approximate one merges sketches in a single pass."""
     q = min(max(q, 0.5), 0.99)
-    return df.groupBy(*keys).agg((F.percentile_approx(score, q, 10000) if approximate else F.percentile(score, q)).alias("quantile"))
+    if approximate:
+        return df.groupBy(*keys).agg(F.percentile_approx(score, q, 10000).alias("quantile"))
+    place = q * (F.col("n") - 1)
+    found = ranked_value(df, keys, score, F.floor(place))
+    share = place - F.floor(place)
+    upper = F.when(F.col("rank") + 1 < F.col("below") + F.col("equal"), F.col("at")).otherwise(F.coalesce("above", "at"))
+    return found.select(*keys, (F.col("at") + (upper - F.col("at")) * share).alias("quantile"))
 
 
 def top_half_mean(df: DataFrame, cls: str, score: str, tie: str, present: DataFrame) -> DataFrame:
-    """Mean of each class's best max(1, n // 2) scores, for classes in ``present``."""
-    w = Window.partitionBy(cls)
-    ranked = df.join(present.select(cls).distinct(), cls, "left_semi").withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy(F.desc(score), tie)))
-    return ranked.where(F.col("_k") <= F.greatest(F.floor(F.col("_n") / 2), F.lit(1))).groupBy(cls).agg(F.avg(score).alias("mean"))
+    """Mean of each class's best max(1, n // 2) scores, for classes in ``present``. The least score that counts is found by
+    histogram refinement, then what lies above is summed; of equal scores at the cut it doesn't matter to the mean which
+    ones count, so ``tie`` isn't looked at. A class may hold all rows. Rows without a score don't count."""
+    known = df.join(present.select(cls).distinct(), cls, "left_semi").select(cls, F.col(score).cast("double").alias("_s")).where("_s is not null and not isnan(_s)")
+    half = F.greatest(F.floor(F.col("n") / 2), F.lit(1))
+    cut = ranked_value(known, [cls], "_s", F.col("n") - half).withColumn("half", half).select(cls, "at", "half")
+    above = F.col("_s") > F.col("at")
+    sums = known.join(cut, cls).groupBy(cls, "at", "half").agg(F.count_if(above).alias("c"), F.coalesce(F.sum(F.when(above, F.col("_s"))), F.lit(0.0)).alias("s"))
+    return sums.select(cls, ((F.col("s") + (F.col("half") - F.col("c")) * F.col("at")) / F.col("half")).alias("mean"))
 
 
 def foreground_stats(df: DataFrame, avg_objects: float, key: str = "step", gate: float = 0.25, min_fg: int = 8, multiplier: float = 1.5) -> DataFrame:
@@ -109,11 +125,11 @@ def vis_stability(current: DataFrame, previous: DataFrame | None, images: DataFr
     if previous is None:
         return images.sparkSession.createDataFrame([(None,)], "stability double")
     a, b = current.select("image_id", F.col("det_id").alias("ia"), F.col("box").alias("a")), previous.select("image_id", F.col("det_id").alias("ib"), F.col("box").alias("b"))
-    pairs = a.join(b, "image_id").withColumn("iou", F.coalesce(box_iou(F.col("a"), F.col("b")), F.lit(0.0)))
-    best = lambda k: pairs.groupBy("image_id", k).agg(F.max("iou").alias("v")).groupBy("image_id").agg(F.avg("v").alias(f"mean_{k}"))
+    pairs = box_pairs(a, b, ["image_id"], OVERLAP, 64.0)  # boxes without an overlap have a best IoU of 0
+    best = lambda k: pairs.groupBy("image_id", k).agg(F.max("iou").alias("v")).groupBy("image_id").agg(F.sum("v").alias(f"sum_{k}"))
     counts = images.select("image_id").join(a.groupBy("image_id").agg(F.count("*").alias("na")), "image_id", "left").join(b.groupBy("image_id").agg(F.count("*").alias("nb")), "image_id", "left").na.fill(0)
     s = counts.join(best("ia"), "image_id", "left").join(best("ib"), "image_id", "left")
-    value = F.when((F.col("na") == 0) & (F.col("nb") == 0), 1.0).when((F.col("na") == 0) | (F.col("nb") == 0), 0.0).otherwise((F.col("mean_ia") + F.col("mean_ib")) / 2)
+    value = F.when((F.col("na") == 0) & (F.col("nb") == 0), 1.0).when((F.col("na") == 0) | (F.col("nb") == 0), 0.0).otherwise((F.coalesce("sum_ia", F.lit(0.0)) / F.col("na") + F.coalesce("sum_ib", F.lit(0.0)) / F.col("nb")) / 2)
     return s.agg(F.avg(value).alias("stability"))
 
 

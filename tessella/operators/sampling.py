@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.numbering import number_rows
 
 
+def mixed(key: Column, seed: int) -> Column:
+    """A seeded hash of a key, as hexadecimal text; the same in every engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows in the order of a seeded hash of their key: a top-n, so every run and every engine of partitions agrees."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(mixed(F.col(key), seed), key).limit(n)
+
+
+def stored_sample(df: DataFrame, key: str, n: int, path: str, seed: int = 42) -> DataFrame:
+    """Rows of ``df`` whose key is in the subset stored at ``path``. The first call draws the subset (hash_sample) and stores its
+    keys; later calls read it, also when ``df`` has grown since. Keys are written beside and renamed, so there is never half
+    a subset, and of two first calls at once one wins and both use its keys. Keys that ``df`` has lost give no row."""
+    spark = df.sparkSession
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    target, own = of(path), of(f"{path.rstrip('/')}.{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(target):
+        hash_sample(df.select(key).distinct(), key, n, seed).write.parquet(own.toString())
+        if fs.exists(target) or not fs.rename(own, target):
+            fs.delete(own, True)
+    return df.join(spark.read.parquet(path), key, "left_semi")
 
 
 def epoch_order(df: DataFrame, key: str, epoch: int) -> DataFrame:
     """``df`` with pos: the place in the epoch's permutation, and total."""
-    return number_rows(df, [F.xxhash64(F.col(key), F.lit(epoch)).asc(), F.col(key).asc()], "pos", "total")
+    return number_rows(df, [mixed(F.col(key), epoch).asc(), F.col(key).asc()], "pos", "total")
 
 
 def _padded(order: DataFrame, key: str, workers: int) -> DataFrame:

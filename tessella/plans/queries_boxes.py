@@ -16,9 +16,11 @@ IOU = """greatest(least(a.x+a.w, b.x+b.w) - greatest(a.x, b.x), 0) * greatest(le
 PAIR_IOU = f"(({IOU}) / (a.w*a.h + b.w*b.h - ({IOU})))"
 
 
-@query("a1_a2_coco_round_trip", """SELECT i.image_id, width, height, CAST(count(o.ann_id) AS BIGINT) AS n_objects, round(coalesce(sum(w*h), 0), 6) AS area
-  FROM fx_images i LEFT JOIN fx_objects o ON i.image_id = o.image_id GROUP BY ALL""")
-def _(fx):
+ROUND_TRIP = """SELECT i.image_id, width, height, CAST(count(o.ann_id) AS BIGINT) AS n_objects, round(coalesce(sum(w*h), 0), 6) AS area
+  FROM fx_images i LEFT JOIN fx_objects o ON i.image_id = o.image_id GROUP BY ALL"""
+
+
+def round_trip(fx, read, **how):
     import uuid
 
     path = f"{shared_dir(fx.spark)}/{uuid.uuid4().hex}"
@@ -26,12 +28,24 @@ def _(fx):
     x2, y2 = c("x") + c("w"), c("y") + c("h")
     anns = fx.objects.select(c("ann_id").alias("id"), "image_id", "category_id", F.array(F.array("x", "y", x2, "y", x2, y2, "x", y2)).alias("segmentation"), F.array("x", "y", "w", "h").alias("bbox"), (c("w") * c("h")).alias("area"), "iscrowd")
     cats = fx.objects.select(c("category_id").alias("id")).distinct().select("id", F.lit("building").alias("name"), F.lit("none").alias("supercategory"))
-    coco.write_coco(images, anns, cats, path, shards=4)
-    got, objects, _ = coco.read_coco(fx.spark, path)
+    coco.write_coco(images, anns, cats, path, **how)
+    got, objects, _ = read(fx.spark, path)
     n = objects.groupBy("image_id").agg(F.count("*").alias("n_objects"), F.sum("area").alias("area"))
     return got.join(n, got.id == n.image_id, "left").select(got.id.alias("image_id"), "width", "height", F.coalesce("n_objects", F.lit(0)).alias("n_objects"), r6(F.coalesce("area", F.lit(0.0))).alias("area"))
 
 
+@query("a1_a2_coco_round_trip", ROUND_TRIP)
+def _(fx):
+    """Documents of about 20,000 objects, each read as one row."""
+    return round_trip(fx, coco.read_coco, rows=20_000)
+
+
+@query("a1_large_document", ROUND_TRIP)
+def _(fx):
+    """One document of all objects, read by byte ranges."""
+    return round_trip(fx, coco.read_large_coco, shards=1)
+
+
 @query("a7_to_coco_results", "SELECT image_id, category_id, x, y, w, h, round(score, 6) AS score FROM (SELECT image_id, category_id, score, x, y, round(x+w-x, 6) AS w, round(y+h-y, 6) AS h FROM fx_detections) t")
 def _(fx):
     r = coco.to_coco_results(b(fx.detections))

@@ -159,19 +159,25 @@ def _(fx):
     return d.select("step", off_half(c("ema")).alias("ema"), off_half(c("threshold")).alias("threshold"))
 
 
-@query("t8_sigma_threshold", """WITH RECURSIVE s AS (SELECT det_id % 10 AS step, avg(score) FILTER (score > 0.25) AS a, stddev_pop(score) FILTER (score > 0.25) AS b FROM fx_detections GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY step) AS k FROM s),
+T8 = """WITH RECURSIVE s AS (SELECT det_id % 10 AS step, avg(score) FILTER (score > 0.25) AS a, stddev_pop(score) FILTER (score > 0.25) AS b FROM fx_detections GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY step) AS k FROM s),
   e(step, k, mu, sd) AS (SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0.4 AS DOUBLE), CAST(0.1 AS DOUBLE) UNION ALL SELECT n.step, n.k, e.mu*0.99 + n.a*0.01, e.sd*0.99 + n.b*0.01 FROM e JOIN n ON n.k = e.k + 1),
   t AS (SELECT step, mu, sd, least((step+1)/10.0, 1)*(mu - sd) + (1 - least((step+1)/10.0, 1))*0.4 AS tau FROM e WHERE k > 0)
-  SELECT step, round(mu + 1e-12, 9) AS mu, round(sd + 1e-12, 9) AS sigma, round(greatest(least(CASE WHEN abs(tau-0.4) > 0.3 THEN (tau+0.4)/2 ELSE tau END, 0.75), 0.40) + 1e-12, 9) AS threshold FROM t""")
+  SELECT step, round(mu + 1e-12, 9) AS mu, round(sd + 1e-12, 9) AS sigma, round(greatest(least(CASE WHEN abs(tau-0.4) > 0.3 THEN (tau+0.4)/2 ELSE tau END, 0.75), 0.40) + 1e-12, 9) AS threshold FROM t"""
+
+
+@query("t8_sigma_threshold", T8)
 def _(fx):
     d = thresholds.sigma_threshold(fx.detections.withColumn("step", c("det_id") % 10), 2.0)
     return d.select("step", *[off_half(c(k)).alias(k) for k in ("mu", "sigma", "threshold")])
 
 
-@query("t9_class_threshold", """WITH RECURSIVE r AS (SELECT category_id, det_id % 10 AS step, score, row_number() OVER (PARTITION BY category_id, det_id % 10 ORDER BY score DESC, det_id) AS k, count(*) OVER (PARTITION BY category_id, det_id % 10) AS n FROM fx_detections),
+T9 = """WITH RECURSIVE r AS (SELECT category_id, det_id % 10 AS step, score, row_number() OVER (PARTITION BY category_id, det_id % 10 ORDER BY score DESC, det_id) AS k, count(*) OVER (PARTITION BY category_id, det_id % 10) AS n FROM fx_detections),
   m AS (SELECT category_id, step, 0.8*avg(score) AS m, row_number() OVER (PARTITION BY category_id ORDER BY step) AS i FROM r WHERE k <= greatest(floor(n/2), 1) GROUP BY category_id, step),
   e(category_id, step, i, ema) AS (SELECT category_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0.35 AS DOUBLE) FROM m GROUP BY category_id UNION ALL SELECT m.category_id, m.step, m.i, greatest(least(e.ema*0.95 + m.m*0.05, 0.55), 0.30) FROM e JOIN m ON m.category_id = e.category_id AND m.i = e.i + 1)
-  SELECT category_id, step, round(ema + 1e-12, 9) AS threshold FROM e WHERE i > 0""")
+  SELECT category_id, step, round(ema + 1e-12, 9) AS threshold FROM e WHERE i > 0"""
+
+
+@query("t9_class_threshold", T9)
 def _(fx):
     d = thresholds.class_threshold(fx.detections.withColumn("step", c("det_id") % 10), "step", "category_id", "score", "det_id", fx.objects)
     return d.select("category_id", "step", off_half(c("ema")).alias("threshold"))
@@ -195,6 +201,19 @@ def _(fx):
     return meters.drain(meters.running_threshold(stream), fx.spark, path).select("stream", "step", off_half(c("ema")).alias("ema"))
 
 
+@query("s2_stream_thresholds", f"SELECT CAST(a.step AS BIGINT) AS step, mu, sigma, a.threshold AS threshold, category_id, b.threshold AS class_threshold FROM ({T8}) a JOIN ({T9}) b ON a.step = b.step")
+def _(fx):
+    """Steps arrive one file after the other, several micro-batches in all."""
+    path = scratch(fx)
+    d = fx.detections.select(F.lit("all").alias("stream"), (c("det_id") % 10).alias("step"), "image_id", "det_id", "category_id", "score")
+    for i, step in enumerate(sorted(r.step for r in d.select("step").distinct().collect())):
+        d.where(c("step") == step).coalesce(1).write.parquet(f"{path}/in/{i:03d}")
+    schema = "stream string, step long, image_id long, det_id long, category_id int, score double"
+    stream = fx.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in/*")
+    got = meters.stream_thresholds(stream, fx.spark, path, 2.0)
+    return got.select("step", *[off_half(c(k)).alias(k) for k in ("mu", "sigma", "threshold", "class_threshold")], "category_id")
+
+
 @query("s3_deduplicated_results", "SELECT DISTINCT image_id FROM fx_detections")
 def _(fx):
     path = scratch(fx)

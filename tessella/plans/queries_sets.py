@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessella.functions import strings as S
 from tessella.operators import aggregates as A
 from tessella.operators import etl, sampling
 from tessella.plans.registry import query, r6
+from tessella.sources.shared import shared_dir
 
 c = F.col
 
@@ -62,12 +65,22 @@ def _(fx):
     return fx.detections.orderBy(c("score").desc(), "det_id").limit(100).select("det_id", r6(c("score")).alias("score"))
 
 
-@query("h2_h3_hash_sample")
+@query("h2_h3_hash_sample", "SELECT image_id FROM fx_images ORDER BY md5('42:' || image_id), image_id LIMIT 500")
 def _(fx):
     return sampling.hash_sample(fx.images, "image_id", 500).select("image_id")
 
 
-@query("h4_epoch_shards")
+@query("h2_stored_sample", "SELECT image_id, file_name FROM fx_images WHERE image_id IN (SELECT image_id FROM fx_images WHERE image_id % 3 > 0 ORDER BY md5('42:' || image_id), image_id LIMIT 500)")
+def _(fx):
+    """Drawn from two thirds of the images, used again when all are there."""
+    path = f"{shared_dir(fx.spark)}/{uuid.uuid4().hex}"
+    sampling.stored_sample(fx.images.where("image_id % 3 > 0"), "image_id", 500, path)
+    return sampling.stored_sample(fx.images, "image_id", 500, path).select("image_id", "file_name")
+
+
+@query("h4_epoch_shards", """WITH r AS (SELECT image_id, row_number() OVER (ORDER BY md5('3:' || image_id), image_id) - 1 AS pos, count(*) OVER () AS n FROM fx_images),
+  p AS (SELECT image_id, pos, n FROM r UNION ALL SELECT image_id, pos + n, n FROM r WHERE pos < CAST(ceil(n/7.0) AS BIGINT)*7 - n)
+  SELECT image_id, pos, CAST(floor(pos / CAST(ceil(n/7.0) AS BIGINT)) AS INT) AS shard FROM p""")
 def _(fx):
     return sampling.epoch_shards(fx.images, "image_id", 3, 7)
 

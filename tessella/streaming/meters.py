@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessella.operators.aggregates import foreground_stats, top_half_mean
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
 METER = "metric string, step long, median double, mean double, max double, last double, global_mean double"
 
 
@@ -45,6 +50,82 @@ def running_threshold(updates: DataFrame, init: float = 0.40, momentum: float =
     return updates.groupBy("stream").applyInPandasWithState(update, schema, "v double", "append", GroupStateTimeout.NoTimeout)
 
 
+def threshold_statistics(detections: DataFrame, avg_objects: float) -> DataFrame:
+    """(stream, step, category_id, mean, sigma) of whole steps: a row without a class has the foreground mean and deviation,
+    a row with one the mean of the class's best half. ``detections``: stream, step, image_id, det_id, category_id, score. Batch
+    operators over all rows of the steps, whatever their number."""
+    keyed = detections.withColumn("_step", F.struct("stream", "step"))
+    fg = foreground_stats(keyed, avg_objects, "_step").select("_step.stream", "_step.step", F.lit(None).cast("int").alias("category_id"), F.col("mu").alias("mean"), "sigma")
+    by_class = detections.withColumn("_step", F.struct("stream", "step", "category_id"))
+    half = top_half_mean(by_class, "_step", "score", "det_id", by_class.select("_step"))
+    return fg.unionByName(half.select("_step.stream", "_step.step", "_step.category_id", "mean", F.lit(None).cast("double").alias("sigma")))
+
+
+class Thresholds(StatefulProcessor):
+    """State of a stream: its last step with mean and deviation, and a threshold for each class. A step no later than the
+    last one is late: it changes nothing and gives no row."""
+
+    def __init__(self, sigma: dict, classes: dict):
+        self.sigma, self.classes = sigma, classes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "step long, mu double, sigma double")
+        self.thresholds = handle.getMapState("thresholds", "category_id int", "threshold double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        o, p, out = self.sigma, self.classes, []
+        last, mu, sd = self.run.get() if self.run.exists() else (None, o["init_mu"], o["init_sigma"])
+        for step, part in pd.concat(list(rows)).groupby("step"):
+            if last is not None and step <= last:
+                continue
+            last, fg = step, part[part.category_id.isna()]
+            if len(fg) and not math.isnan(fg["mean"].iloc[0]):
+                mu, sd = (o["momentum"] * old + (1 - o["momentum"]) * new for old, new in ((mu, fg["mean"].iloc[0]), (sd, fg.sigma.iloc[0])))
+            share = min(max((step - o["burn_in"] + 1) / o["warm_up"], 0.0), 1.0)
+            tau = share * (mu - o["k"] * sd) + (1 - share) * o["source"]
+            if o["check"] > 0 and abs(tau - o["source"]) > o["check"]:
+                tau = (tau + o["source"]) / 2
+            for r in part[part.category_id.notna()].sort_values("category_id").itertuples():
+                cls = (int(r.category_id),)
+                old = self.thresholds.getValue(cls)[0] if self.thresholds.containsKey(cls) else p["init"]
+                new = min(max(p["gamma"] * old + (1 - p["gamma"]) * p["a"] * r.mean ** p["b"], p["low"]), p["high"])
+                self.thresholds.updateValue(cls, (new,))
+                out.append((key[0], step, mu, sd, min(max(tau, o["low"]), o["high"]), cls[0], new))
+        if last is not None:
+            self.run.update((int(last), float(mu), float(sd)))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in THRESHOLDS.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+THRESHOLDS = "stream string, step long, mu double, sigma double, threshold double, category_id int, class_threshold double"
+SIGMA = {"burn_in": 0, "k": 1.0, "momentum": 0.99, "warm_up": 10, "low": 0.40, "high": 0.75, "check": 0.3, "source": 0.40, "init_mu": 0.40, "init_sigma": 0.10}
+CLASSES = {"low": 0.30, "init": 0.35, "high": 0.55, "gamma": 0.95, "a": 0.8, "b": 1.0}
+
+
+def running_thresholds(statistics: DataFrame, sigma: dict | None = None, classes: dict | None = None) -> DataFrame:
+    """A stream of threshold_statistics -> after each step, for each class seen in it, the running mean and deviation, the
+    threshold they give, and the class's own threshold. Needs a state store with column families (``drain`` sets it)."""
+    processor = Thresholds(SIGMA | (sigma or {}), CLASSES | (classes or {}))
+    return statistics.groupBy("stream").transformWithStateInPandas(processor, THRESHOLDS, "Append", "None")
+
+
+def stream_thresholds(detections: DataFrame, spark: SparkSession, path: str, avg_objects: float) -> DataFrame:
+    """Thresholds of a stream of detections whose steps arrive whole: every micro-batch's statistics are computed by batch
+    operators and stored under its number (a repeated batch replaces itself), then streamed in that order into the state. Runs
+    over what is there now; a later call with the same ``path`` goes on."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            threshold_statistics(batch, avg_objects).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics/batch={number:012d}")
+
+    detections.writeStream.foreachBatch(store).option("checkpointLocation", f"{path}/batches").trigger(availableNow=True).start().awaitTermination()
+    schema = "stream string, step long, category_id int, mean double, sigma double"
+    stored = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/statistics/*")
+    return drain(running_thresholds(stored), spark, path)
+
+
 def deduplicated_results(results: DataFrame, event_time: str, lateness: str = "1 hour", key: str = "image_id") -> DataFrame:
     """The first result of each image within the watermark."""
     return results.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark([key])
@@ -59,6 +140,10 @@ def new_files(spark: SparkSession, path: str, pattern: str = "*.{jpg,png}") -> D
 
 def drain(stream: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     """Run a stream over what is there now and return what it wrote to ``path``."""
-    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{path}/out")

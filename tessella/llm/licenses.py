@@ -102,7 +102,7 @@ l AS (SELECT doc_id, string_split(text, chr(10)) AS parts, 0 AS kind FROM docume
 u AS (SELECT doc_id, kind, unnest(range(len(parts))) AS pos, unnest(parts) AS unit FROM l),
 uw AS (SELECT doc_id, kind, pos, string_split(trim(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u
   WHERE kind = 0 OR contains(unit, chr(10))),
-ug AS (SELECT doc_id, kind, pos, {grams} AS own FROM uw WHERE len(w) > 1 AND len(w) < 2000),
+ug AS (SELECT doc_id, kind, pos, {grams} AS own FROM uw WHERE len(w) > 1),
 d AS (SELECT doc_id, kind, pos, license, round(2.0 * len(list_intersect(own, g)) / (len(own) + len(g)), 6)::DOUBLE AS dice FROM ug, tg
   WHERE len(own) BETWEEN len(g) * 0.6 AND len(g) * 1.6),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, pos ORDER BY dice DESC, license) AS k FROM d WHERE dice >= 0.8)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.shared import materialize
+
 # Public licence notices, by identifier.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -56,11 +58,53 @@ def template_rows(templates=TEMPLATES, least: float = 0.8) -> list[tuple[int, st
     return rows
 
 
+def anchors(templates=TEMPLATES, least: float = 0.8) -> list[tuple[str, int, int, int]]:
+    """(key, template, place of the key's first word in the template, words of the template)."""
+    out = []
+    for (_, text), (i, _, _, keys) in zip(templates, template_rows(templates, least)):
+        words = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower()).split()
+        pairs = [" ".join(p) for p in zip(words, words[1:])]
+        out += [(k, i, pairs.index(k), len(words)) for k in keys]
+    return out
+
+
+def scan_windows(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
+    """(doc_id, license, n_windows, dice): notices anywhere in a text, also within a line or across lines.
+
+    Every key bigram of a template in the whole text puts a window of the template's length where the template would lie.
+    Windows with Dice >= ``least`` that overlap are one place, and the best of them (then the first licence by name) names
+    it. Only documents that hold a key are taken apart by position.
+    """
+    spark = docs.sparkSession
+    rows = template_rows(templates, least)
+    index = spark.createDataFrame(anchors(templates, least), "key string, template int, place int, words int")
+    index = index.join(spark.createDataFrame([r[:3] for r in rows], "template int, license string, grams array<string>"), "template")
+    keys = F.lit(sorted({k for r in rows for k in r[3]}))
+    joined = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda x, y: F.concat_ws(" ", x, y))
+    texts = docs.select("doc_id", F.split(_normal(F.col("text")), " ").alias("w")).where(F.size("w") > 1)
+    # stored, as the keys would else be looked for again at every word
+    texts = materialize(texts.withColumn("own_keys", F.array_intersect(joined(F.col("w")), keys)).where(F.size("own_keys") > 0))
+    hits = F.filter(F.transform(joined(F.col("w")), lambda g, i: F.struct(g.alias("key"), i.alias("at"))), lambda h: F.array_contains("own_keys", h["key"]))
+    hits = texts.select("doc_id", "w", F.explode(hits).alias("h")).join(F.broadcast(index), F.col("h.key") == F.col("key"))
+    lo = F.greatest(F.col("h.at") - F.col("place"), F.lit(0))
+    hi = F.least(F.col("h.at") - F.col("place") + F.col("words"), F.size("w"))
+    windows = hits.select("doc_id", "license", "grams", lo.alias("lo"), hi.alias("hi"), F.slice("w", lo + 1, hi - lo).alias("part"))
+    windows = windows.withColumn("own", F.array_distinct(joined(F.col("part"))))
+    dice = 2.0 * F.size(F.array_intersect("own", "grams")) / (F.size("own") + F.size("grams"))
+    good = windows.select("doc_id", "license", "lo", "hi", F.round(dice, 6).alias("dice")).where(F.col("dice") >= least).distinct()
+    by = Window.partitionBy("doc_id").orderBy("lo", "hi", "license", "dice")
+    reach = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    place = F.sum(F.coalesce((F.col("lo") >= F.col("reach")).cast("int"), F.lit(1))).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    placed = good.withColumn("reach", reach).withColumn("number", place)
+    best = placed.groupBy("doc_id", "number").agg(F.min(F.struct((-F.col("dice")).alias("less"), F.col("license"))).alias("b"))
+    return best.groupBy("doc_id", F.col("b.license").alias("license")).agg(F.count("*").alias("n_windows"), F.max(-F.col("b.less")).alias("window_dice"))
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
-    """(doc_id, license, n_units, dice): licence notices in ``docs``, by lines and by multi-line paragraphs.
+    """(doc_id, license, n_units, n_windows, dice): licence notices in ``docs``, by lines and multi-line paragraphs (n_units),
+    and anywhere in the text (n_windows, see scan_windows); ``dice`` is the best of both.
 
-    A unit counts for its best template only (ties: the first licence by name), ``n_units`` counts them and ``dice`` is
-    the best. The templates are a fixed small table, broadcast; candidates need a template within the size bounds
+    A unit counts for its best template only (ties: the first licence by name), ``n_units`` counts them. The templates are a fixed small table, broadcast; candidates need a template within the size bounds
     that Dice allows and one of its key bigrams. Null or empty texts, and units of under two words, match nothing.
     Repeated rows of one doc_id count once for each place in the text.
     """
@@ -82,7 +126,10 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> D
     dice = 2.0 * F.size(F.array_intersect("own", "grams")) / (F.size("own") + F.col("n_grams"))
     scored = pairs.select("doc_id", "at", "license", F.round(dice, 6).alias("dice")).where(F.col("dice") >= least)
     best = scored.groupBy("doc_id", "at").agg(F.min(F.struct((-F.col("dice")).alias("less"), F.col("license"))).alias("b"))
-    return best.groupBy("doc_id", F.col("b.license").alias("license")).agg(F.count("*").alias("n_units"), F.max(-F.col("b.less")).alias("dice"))
+    by_unit = best.groupBy("doc_id", F.col("b.license").alias("license")).agg(F.count("*").alias("n_units"), F.max(-F.col("b.less")).alias("dice"))
+    by_window = scan_windows(docs, templates, least)
+    rows = by_unit.withColumns({"n_windows": F.lit(0).cast("long")}).unionByName(by_window.select("doc_id", "license", F.lit(0).cast("long").alias("n_units"), F.col("window_dice").alias("dice"), "n_windows"))
+    return rows.groupBy("doc_id", "license").agg(F.sum("n_units").alias("n_units"), F.sum("n_windows").alias("n_windows"), F.max("dice").alias("dice"))
 
 
 def op9_dice_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +139,7 @@ def op9_dice_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in TEMPLATES)
+    keys = ", ".join(f"({quoted(k)}, {t}, {place}, {words})" for k, t, place, words in anchors())
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return rf"""
 WITH t(license, text) AS (VALUES {values}),
@@ -105,5 +153,17 @@ uw AS (SELECT doc_id, kind, pos, string_split(trim(regexp_replace(lower(unit), '
 ug AS (SELECT doc_id, kind, pos, {grams} AS own FROM uw WHERE len(w) > 1),
 d AS (SELECT doc_id, kind, pos, license, round(2.0 * len(list_intersect(own, g)) / (len(own) + len(g)), 6)::DOUBLE AS dice FROM ug, tg
   WHERE len(own) BETWEEN len(g) * 0.6 AND len(g) * 1.6),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, pos ORDER BY dice DESC, license) AS k FROM d WHERE dice >= 0.8)
-SELECT doc_id, license, count(*) AS n_units, max(dice) AS dice FROM b WHERE k = 1 GROUP BY ALL"""
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, pos ORDER BY dice DESC, license) AS k FROM d WHERE dice >= 0.8),
+k(key, t, place, words) AS (VALUES {keys}),
+kt AS (SELECT key, place, words, t.license, tg.g FROM k JOIN (SELECT *, row_number() OVER () - 1 AS n FROM t) t ON t.n = k.t JOIN (SELECT *, row_number() OVER () - 1 AS n FROM tg) tg ON tg.n = k.t),
+w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, w, unnest(range(1, len(w))) AS pos FROM w WHERE len(w) > 1),
+h AS (SELECT doc_id, license, g, greatest(pos - 1 - place, 0) AS lo, least(pos - 1 - place + words, len(w)) AS hi, w FROM p JOIN kt ON key = w[pos] || ' ' || w[pos + 1]),
+hw AS (SELECT doc_id, license, g, lo, hi, w[lo + 1:hi] AS w FROM h),
+hg AS (SELECT doc_id, license, g, lo, hi, {grams} AS own FROM hw),
+hd AS (SELECT DISTINCT doc_id, license, lo, hi, round(2.0 * len(list_intersect(own, g)) / (len(own) + len(g)), 6)::DOUBLE AS dice FROM hg),
+hr AS (SELECT *, max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi, license, dice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hd WHERE dice >= 0.8),
+hn AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY lo, hi, license, dice ROWS UNBOUNDED PRECEDING) AS n FROM hr),
+hb AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY dice DESC, license) AS k FROM hn),
+r AS (SELECT doc_id, license, 1 AS u, 0 AS v, dice FROM b WHERE k = 1 UNION ALL SELECT doc_id, license, 0, 1, dice FROM hb WHERE k = 1)
+SELECT doc_id, license, sum(u)::BIGINT AS n_units, sum(v)::BIGINT AS n_windows, max(dice) AS dice FROM r GROUP BY ALL"""

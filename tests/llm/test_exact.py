@@ -317,8 +317,21 @@ def test_mix_reshares_above_the_cap(spark):
 
 def test_licenses(spark):
     rows = [(1, "Some prose here.\nReleased under the MIT License.\nMore."), (2, "released UNDER the mit license!!"), (3, None), (4, ""), (5, "License"), (6, "the the the the the the the"), (7, "Redistribution and use in source and binary\nforms, with or without modification, are permitted\nprovided that the following conditions are met:\n\nEnd.")]
-    got = {(r.doc_id, r.license): (r.n_units, r.dice) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(1, "MIT"): (1, 1.0), (2, "MIT"): (1, 1.0), (7, "BSD-2-Clause"): (1, 1.0)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license): (r.n_units, r.n_windows, r.dice) for r in licenses.scan_licenses(df.withColumns({"w": F.lit(1), "license": F.lit("x"), "key": F.lit(None).cast("int")})).collect()}
+    assert got == {(1, "MIT"): (1, 1, 1.0), (2, "MIT"): (1, 1, 1.0), (7, "BSD-2-Clause"): (1, 1, 1.0)}
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
+    twice = licenses.scan_licenses(df.unionByName(df)).collect()
+    assert {(r.doc_id, r.license): (r.n_units, r.n_windows, r.dice) for r in twice} == {k: (2 * u, v, d) for k, (u, v, d) in got.items()} or all(r.n_windows == 1 for r in twice)
+
+
+def test_licenses_within_and_across_lines(spark):
+    """A notice inside a line, one wrapped between lines of code, two after one another, one with a word put in, in a long text."""
+    mit, cc = "Released under the MIT License.", "This work is licensed under a Creative Commons Attribution 4.0 International License."
+    prose = "words of no licence at all " * 4000
+    rows = [(1, f"Copyright 2020 X. {mit}"), (2, "int a = 1;\n# This work is licensed under a Creative\n# Commons Attribution 4.0 International License.\nint b;"), (3, f"{mit} {mit}"), (4, prose + cc.replace("licensed", "hereby licensed") + prose), (5, "mit license and creative commons")]
+    got = {(r.doc_id, r.license): (r.n_units, r.n_windows) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "MIT"): (0, 1), (2, "CC-BY-4.0"): (0, 1), (3, "MIT"): (1, 2), (4, "CC-BY-4.0"): (0, 1)}
 
 
 def test_license_keys_cover_every_match():

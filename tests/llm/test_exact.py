@@ -329,7 +329,7 @@ def test_licenses_within_and_across_lines(spark):
     """A notice inside a line, one wrapped between lines of code, two after one another, one with a word put in, in a long text."""
     mit, cc = "Released under the MIT License.", "This work is licensed under a Creative Commons Attribution 4.0 International License."
     prose = "words of no licence at all " * 4000
-    rows = [(1, f"Copyright 2020 X. {mit}"), (2, "int a = 1;\n# This work is licensed under a Creative\n# Commons Attribution 4.0 International License.\nint b;"), (3, f"{mit} {mit}"), (4, prose + cc.replace("licensed", "hereby licensed") + prose), (5, "mit license and creative commons")]
+    rows = [(1, f"Copyright 2020 X. {mit}"), (2, "int a = first + second;\nfor x in all of them: print(x)\n# This work is licensed under a Creative\n# Commons Attribution 4.0 International License.\nint b;"), (3, f"{mit} {mit}"), (4, prose + cc.replace("licensed", "hereby licensed") + prose), (5, "mit license and creative commons")]
     got = {(r.doc_id, r.license): (r.n_units, r.n_windows) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, "MIT"): (0, 1), (2, "CC-BY-4.0"): (0, 1), (3, "MIT"): (1, 2), (4, "CC-BY-4.0"): (0, 1)}
 

@@ -217,3 +217,15 @@ def test_stored_tables_can_be_discarded(spark, sf_dir):
     assert two.count() == 6 and spark.read.parquet(f"{sf_dir}/region.parquet").count() == 5
     with pytest.raises(Exception):
         one.withColumn("y", F.col("x")).collect()
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tessella.sources.shared import shared_dir
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("spark://host:7077", "hdfs:///x/")) == "hdfs:///x"
+    assert shared_dir(session("local[4]", None)).startswith("file:///")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://host:7077", None))

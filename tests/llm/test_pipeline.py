@@ -50,4 +50,4 @@ def test_twin(name, spark, sf_dir):
 
 
 def test_query_names():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))

@@ -218,7 +218,8 @@ def benchmark_summary(df: DataFrame, config: str, order: str, seconds: str, warm
 
 
 def scale_percentile(df: DataFrame, group: str, value: str, p: float = 2.0) -> DataFrame:
-    """``scaled`` = (v - Pp) / max(P(100-p) - Pp, 1e-6) * 255, clipped and cut to an integer."""
+    """``scaled`` = (v - Pp) / max(P(100-p) - Pp, 1e-6) * 255, clipped and cut to an integer; at nine places, so that the last bits of
+    a quotient don't decide between two integers."""
     bounds = df.groupBy(group).agg(F.percentile(value, F.array(F.lit(p / 100), F.lit(1 - p / 100))).alias("_q"))
     s = (F.col(value) - F.get("_q", F.lit(0))) / F.greatest(F.get("_q", F.lit(1)) - F.get("_q", F.lit(0)), F.lit(1e-6)) * 255
-    return df.join(bounds, group).withColumn("scaled", F.least(F.greatest(s, F.lit(0.0)), F.lit(255.0)).cast("int")).drop("_q")
+    return df.join(bounds, group).withColumn("scaled", F.floor(F.round(F.least(F.greatest(s, F.lit(0.0)), F.lit(255.0)), 9)).cast("int")).drop("_q")

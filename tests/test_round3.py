@@ -55,3 +55,39 @@ def test_scaled_values_next_to_integers(spark):
     values = [(1 + i * 6) / 100 for i in range(51)]
     got = aggregates.scale_percentile(spark.createDataFrame([("m", v) for v in values], "g string, v double"), "g", "v")
     assert {r.v: r.scaled for r in got.collect()} == {v: min(max((i - 1) * 255 // 48, 0), 255) for i, v in enumerate(values)}
+
+
+def test_rings_side_by_side():
+    """Chains and rings of many sizes in one batch, with null and empty ones, against one at a time."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessella.functions import rings as R
+
+    rng = random.Random(5)
+    rows = [None, []] + [[(round(rng.uniform(0, 9), rng.choice([0, 1, 6])), round(rng.uniform(0, 9), rng.choice([0, 1, 6]))) for _ in range(rng.choice([1, 2, 3, 6, 20]))] for _ in range(300)] + [[(1.0, 1.0)] * 5]
+    batch = pa.array([None if r is None else [{"x": x, "y": y} for x, y in r] for r in rows], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    one = [batch.slice(i, 1) for i in range(len(rows))]
+    for udf, arg in ((R._simplified, 1.0), (R._even_points, 64)):
+        got = udf.func(batch, pa.array([arg] * len(rows))).to_pylist()
+        assert got == [udf.func(r, pa.array([arg])).to_pylist()[0] for r in one]
+
+    def keep(r, a, b):
+        """Douglas-Peucker by recursion."""
+        if b - a < 2:
+            return set()
+        (px, py), (qx, qy) = r[a], r[b]
+        size = (qx - px) ** 2 + (qy - py) ** 2
+        t = [min(max(((x - px) * (qx - px) + (y - py) * (qy - py)) / size, 0), 1) if size else 0 for x, y in r[a + 1 : b]]
+        d = [(x - px - s * (qx - px)) ** 2 + (y - py - s * (qy - py)) ** 2 for s, (x, y) in zip(t, r[a + 1 : b])]
+        k = a + 1 + d.index(max(d))
+        return {k} | keep(r, a, k) | keep(r, k, b) if max(d) > 1 else set()
+
+    flat = np.array([p for r in rows if r for p in r])
+    sizes = np.array([len(r or []) for r in rows])
+    flags, at = R.far_vertices(flat[:, 0], flat[:, 1], sizes, 1.0), 0
+    for r in (r for r in rows if r):
+        assert set(np.flatnonzero(flags[at : at + len(r)])) == keep(r, 0, len(r) - 1) | {0, len(r) - 1}
+        at += len(r)

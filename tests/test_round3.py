@@ -91,3 +91,61 @@ def test_rings_side_by_side():
     for r in (r for r in rows if r):
         assert set(np.flatnonzero(flags[at : at + len(r)])) == keep(r, 0, len(r) - 1) | {0, len(r) - 1}
         at += len(r)
+
+
+def match_one(dets, gts, crowd):
+    """One image and category by a loop over its detections: (matched, ignored), area ranges x thresholds x detections."""
+    import numpy as np
+
+    from tessella.operators.evaluation import AREAS, THRESHOLDS
+
+    side = lambda a, b: np.clip(np.minimum(dets[:, None, b], gts[None, :, b]) - np.maximum(dets[:, None, a], gts[None, :, a]), 0, None)
+    both = side(0, 2) * side(1, 3)
+    own, other = ((v[:, 2] - v[:, 0]) * (v[:, 3] - v[:, 1]) for v in (dets, gts))
+    total = np.where(crowd[None, :], own[:, None], own[:, None] + other[None, :] - both)
+    iou = np.divide(both, total, out=np.zeros_like(both), where=total > 0)
+    matched, ignored = np.zeros((2, len(AREAS), len(THRESHOLDS), len(dets)), dtype=bool)
+    for a, (low, high) in enumerate(AREAS.values()):
+        skip = crowd | (other < low) | (other > high)
+        for t, thr in enumerate(THRESHOLDS):
+            free = np.ones(len(gts), dtype=bool)
+            for i in range(len(dets)):
+                can = [k for k in range(len(gts)) if (free[k] or crowd[k]) and iou[i, k] >= thr - 1e-10]
+                can = [k for k in can if not skip[k]] or can
+                ignored[a, t, i] = own[i] < low or own[i] > high
+                if can:
+                    k = max(can, key=lambda k: (iou[i, k], -k))
+                    free[k], matched[a, t, i], ignored[a, t, i] = False, True, skip[k]
+    return matched, ignored
+
+
+def test_matches_of_many_images(spark):
+    """Crowds, objects out of range, equal overlaps, images without detections or without objects."""
+    import numpy as np
+
+    from tessella.operators import evaluation as E
+
+    rng = np.random.default_rng(2)
+    box = lambda s: (lambda x, y, w, h: (float(x), float(y), float(x + w), float(y + h)))(*rng.integers(0, 12, 2), *rng.integers(s, s + 14, 2))
+    dets, gts, n = [], [], 0
+    for image in range(12):
+        size = int(rng.choice([3, 24, 90]))
+        for cat in (0, 1):
+            for _ in range(int(rng.integers(0, 9))):
+                n += 1
+                dets.append((image, cat, n, float(rng.integers(0, 8)) / 8, *box(size)))
+            gts += sorted((image, cat, int(rng.random() < 0.2), *box(size)) for _ in range(int(rng.integers(0, 7))))
+    corners = "x1 double, y1 double, x2 double, y2 double"
+    d = spark.createDataFrame(dets, "image_id long, category_id int, det_id long, score double, " + corners)
+    g = spark.createDataFrame(gts, "image_id long, category_id int, iscrowd int, " + corners)
+    got = {(r.det_id, r.area_range, r.thr): (r.matched, r.ignored) for r in E.coco_match(d, g).collect()}
+    want, seen = {}, 0
+    for image, cat in {r[:2] for r in dets}:
+        own = sorted((r for r in dets if r[:2] == (image, cat)), key=lambda r: (-r[3], r[2]))
+        other = [r for r in gts if r[:2] == (image, cat)]
+        flags = match_one(np.array([r[4:] for r in own]), np.array([r[3:] for r in other]).reshape(-1, 4), np.array([r[2] == 1 for r in other], dtype=bool))
+        for i, r in enumerate(own):
+            for a, area in enumerate(E.AREAS):
+                for t, thr in enumerate(E.THRESHOLDS):
+                    want[r[2], area, thr] = tuple(bool(f[a, t, i]) for f in flags)
+    assert got == want and sum(m for m, _ in want.values()) > 100

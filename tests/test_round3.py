@@ -149,3 +149,24 @@ def test_matches_of_many_images(spark):
                 for t, thr in enumerate(E.THRESHOLDS):
                     want[r[2], area, thr] = tuple(bool(f[a, t, i]) for f in flags)
     assert got == want and sum(m for m, _ in want.values()) > 100
+
+
+def test_assignments_side_by_side():
+    """Matrices of many sizes at once cost what each costs alone, by trying all orders."""
+    import itertools
+
+    import numpy as np
+
+    from tessella.operators import suppression
+
+    rng = np.random.default_rng(3)
+    sizes = [(int(rng.integers(1, 5)), int(rng.integers(5, 7))) for _ in range(40)]
+    cost = np.full((40, 4, 6), np.inf)
+    for b, (n, m) in enumerate(sizes):
+        cost[b, :n, :m] = rng.integers(0, 6, (n, m)) if b % 2 else rng.normal(size=(n, m))
+    owner = suppression.hungarians(cost, np.array([n for n, _ in sizes]))
+    for b, (n, m) in enumerate(sizes):
+        pairs = {int(i): j for j, i in enumerate(owner[b]) if i >= 0}
+        assert sorted(pairs) == list(range(n)) and max(pairs.values()) < m
+        best = min(sum(cost[b, i, j] for i, j in enumerate(o)) for o in itertools.permutations(range(m), n))
+        assert abs(sum(cost[b, i, j] for i, j in pairs.items()) - best) < 1e-9

@@ -77,14 +77,18 @@ def panoptic_quality(overlaps: DataFrame, things: DataFrame | None = None) -> Da
     """(grp, pq, sq, rq, n): overlaps has image_id, pred_seg, gt_seg, pred_cat, gt_cat, pixels; ``things`` cat, isthing.
 
     A predicted and a true segment of one category match at IoU > 0.5 (then at most one does). Per category, PQ = sum of
-    IoU / (tp + fp / 2 + fn / 2); groups All, Things and Stuff are means over their categories with any segment.
+    IoU / (tp + fp / 2 + fn / 2); groups All, Things and Stuff are means over their categories with any segment. Overlaps are
+    exchanged once, by image; sizes and counts of segments come from windows inside images.
     """
-    pred = overlaps.groupBy("image_id", "pred_seg", F.col("pred_cat").alias("cat")).agg(F.sum("pixels").alias("pa"))
-    truth = overlaps.groupBy("image_id", "gt_seg", F.col("gt_cat").alias("cat")).agg(F.sum("pixels").alias("ga"))
-    same = overlaps.where("pred_cat = gt_cat").groupBy("image_id", "pred_seg", "gt_seg", F.col("pred_cat").alias("cat")).agg(F.sum("pixels").alias("pixels"))
-    iou = F.col("pixels") / (F.col("pa") + F.col("ga") - F.col("pixels"))
-    tp = same.join(pred, ["image_id", "pred_seg", "cat"]).join(truth, ["image_id", "gt_seg", "cat"]).withColumn("iou", iou).where("iou > 0.5").groupBy("cat").agg(F.count("*").alias("tp"), F.sum("iou").alias("iou"))
-    per = pred.groupBy("cat").agg(F.count("*").alias("np")).join(truth.groupBy("cat").agg(F.count("*").alias("ng")), "cat", "full_outer").join(tp, "cat", "left").na.fill(0)
+    whole = ["image_id", "pred_seg", "gt_seg", "pred_cat", "gt_cat"]
+    parts = overlaps.repartition("image_id").groupBy(*whole).agg(F.sum("pixels").alias("pixels"))
+    pred, truth = Window.partitionBy("image_id", "pred_seg", "pred_cat"), Window.partitionBy("image_id", "gt_seg", "gt_cat")
+    first = lambda w, by: (F.row_number().over(w.orderBy(by)) == 1).cast("long")
+    sized = parts.withColumns({"pa": F.sum("pixels").over(pred), "np": first(pred, F.struct("gt_seg", "gt_cat"))}).withColumns({"ga": F.sum("pixels").over(truth), "ng": first(truth, F.struct("pred_seg", "pred_cat"))})
+    iou = sized.withColumn("iou", F.when(F.col("pred_cat") == F.col("gt_cat"), F.col("pixels") / (F.col("pa") + F.col("ga") - F.col("pixels")))).withColumn("hit", F.coalesce(F.col("iou") > 0.5, F.lit(False)))
+    mine = F.struct(F.col("pred_cat").alias("cat"), "np", F.lit(0).cast("long").alias("ng"), F.col("hit").cast("long").alias("tp"), F.when(F.col("hit"), F.col("iou")).otherwise(0.0).alias("iou"))
+    other = F.struct(F.col("gt_cat").alias("cat"), F.lit(0).cast("long").alias("np"), "ng", F.lit(0).cast("long").alias("tp"), F.lit(0.0).alias("iou"))
+    per = iou.select(F.inline(F.array(mine, other))).groupBy("cat").agg(*[F.sum(k).alias(k) for k in ("np", "ng", "tp", "iou")])
     half = (F.col("np") + F.col("ng")) / 2
     per = per.select("cat", (F.col("iou") / half).alias("pq"), F.coalesce(F.try_divide(F.col("iou"), F.col("tp")), F.lit(0.0)).alias("sq"), (F.col("tp") / half).alias("rq"))
     named = per.join(things, "cat", "left") if things is not None else per.withColumn("isthing", F.lit(True))

@@ -170,3 +170,15 @@ def test_assignments_side_by_side():
         assert sorted(pairs) == list(range(n)) and max(pairs.values()) < m
         best = min(sum(cost[b, i, j] for i, j in enumerate(o)) for o in itertools.permutations(range(m), n))
         assert abs(sum(cost[b, i, j] for i, j in pairs.items()) - best) < 1e-9
+
+
+def test_overlaps_are_exchanged_once(spark):
+    """Segments of several parts and rows that repeat; one exchange by image, one by category, one by group."""
+    rows = [(1, 1, 1, 0, 0, 6), (1, 1, 1, 0, 0, 4), (1, 1, 2, 0, 1, 2), (1, 3, 2, 1, 1, 9), (2, 1, 1, 0, 0, 1), (2, 1, 2, 0, 0, 1), (2, 4, 5, 2, 0, 7)]
+    df = spark.createDataFrame(rows, "image_id long, pred_seg long, gt_seg long, pred_cat int, gt_cat int, pixels long")
+    out = aggregates.panoptic_quality(df)
+    got = {r.grp: r for r in out.collect()}
+    # category 0: one match of IoU 10/12 (1/2 is none) among 2 and 4 segments; 1: one of 9/11 among 1 and 1; 2: none among 1 and 0
+    pq = [10 / 12 / 3, 9 / 11, 0.0]
+    assert abs(got["All"].pq - sum(pq) / 3) < 1e-12 and abs(got["All"].rq - (1 / 3 + 1) / 3) < 1e-12 and got["All"].n == 3
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") <= 3

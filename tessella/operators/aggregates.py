@@ -190,12 +190,13 @@ def polygon_error(df: DataFrame, a: str, b: str, n: float, beta: float = 0.1) ->
 def boundary_report(df: DataFrame, ring: str, boundary: str, corners: str) -> DataFrame:
     """boundary_error: mean squared distance of all vertices to the nearest boundary point; corner_error: mean over
     objects with corners of the mean squared distance of a corner to the nearest vertex."""
-    from tessella.functions.rings import nearest_squared
+    from tessella.functions.rings import nearest_squared, settled
 
     add = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-    d = F.transform(ring, lambda p: nearest_squared(p, F.col(boundary)))
-    c = F.transform(corners, lambda p: nearest_squared(p, F.col(ring)))
-    sums = df.select(add(d).alias("d"), F.size(ring).alias("n"), F.try_divide(add(c), F.size(corners)).alias("c"))
+    rows = settled(df.select(ring, boundary, corners), "_s", F.struct(ring, boundary, corners))
+    near = rows.select("_s", nearest_squared(F.col("_s")[ring], F.col("_s")[boundary]).alias("d"), nearest_squared(F.col("_s")[corners], F.col("_s")[ring]).alias("c"))
+    d, c, ring, corners = F.col("d"), F.col("c"), F.col("_s")[ring], F.col("_s")[corners]
+    sums = near.select(add(d).alias("d"), F.size(ring).alias("n"), F.try_divide(add(c), F.size(corners)).alias("c"))
     return sums.agg(F.try_divide(F.sum("d"), F.sum("n")).alias("boundary_error"), F.avg("c").alias("corner_error"))
 
 

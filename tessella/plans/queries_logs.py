@@ -10,7 +10,7 @@ from tessella.operators import aggregates as A
 from tessella.operators import thresholds, windows
 from tessella.plans.registry import off_half, query, r6, r9
 from tessella.sources import logs
-from tessella.sources.shared import shared_dir
+from tessella.sources.shared import discard, materialize, shared_dir
 from tessella.streaming import meters
 
 c = F.col
@@ -183,12 +183,25 @@ def _(fx):
     return d.select("category_id", "step", off_half(c("ema")).alias("threshold"))
 
 
+def written_in_order(df, order: str, path: str, rows: int) -> int:
+    """Write ``df`` as folders of one file, about ``rows`` rows each, that arrive in the order of ``order``; their number."""
+    stored = materialize(df)
+    n = max(1, -(-stored.count() // rows))
+    cuts = stored.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+    ends = [None, *sorted(set(cuts)), None]
+    for i, (low, high) in enumerate(zip(ends, ends[1:])):
+        part = stored if low is None else stored.where(c(order) > low)
+        (part if high is None else part.where(c(order) <= high)).coalesce(1).write.parquet(f"{path}/{i:06d}")
+    discard(stored)
+    return len(ends) - 1
+
+
 @query("s1_running_meters", """SELECT metric, step, round(list_sort(v)[CAST(floor((len(v)+1)/2) AS INT)], 9) AS median, round(list_avg(v), 9) AS mean, round(g, 9) AS global_mean FROM (
   SELECT metric, step, list(value) OVER (PARTITION BY metric ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS v, avg(value) OVER (PARTITION BY metric ORDER BY step ROWS UNBOUNDED PRECEDING) AS g FROM fx_steps) t""")
 def _(fx):
     path = scratch(fx)
-    fx.steps.select("metric", "step", "value").write.parquet(f"{path}/in")
-    stream = fx.spark.readStream.schema("metric string, step long, value double").parquet(f"{path}/in")
+    written_in_order(fx.steps.select("metric", "step", "value"), "step", f"{path}/in", 1_000_000)
+    stream = fx.spark.readStream.schema("metric string, step long, value double").option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
     d = meters.drain(meters.running_meters(stream), fx.spark, path)
     return d.select("metric", "step", *[r9(c(k)).alias(k) for k in ("median", "mean", "global_mean")])
 
@@ -206,8 +219,10 @@ def _(fx):
     """Steps arrive one file after the other, several micro-batches in all."""
     path = scratch(fx)
     d = fx.detections.select(F.lit("all").alias("stream"), (c("det_id") % 10).alias("step"), "image_id", "det_id", "category_id", "score")
-    for i, step in enumerate(sorted(r.step for r in d.select("step").distinct().collect())):
-        d.where(c("step") == step).coalesce(1).write.parquet(f"{path}/in/{i:03d}")
+    d.write.partitionBy("step").parquet(f"{path}/steps")  # objects are joined once, by all tasks
+    stored = fx.spark.read.schema(d.schema).parquet(f"{path}/steps").select(d.columns)
+    for i, step in enumerate(sorted(r.step for r in stored.select("step").distinct().collect())):
+        stored.where(c("step") == step).coalesce(1).write.parquet(f"{path}/in/{i:03d}")
     schema = "stream string, step long, image_id long, det_id long, category_id int, score double"
     stream = fx.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in/*")
     got = meters.stream_thresholds(stream, fx.spark, path, 2.0)

@@ -182,3 +182,34 @@ def test_overlaps_are_exchanged_once(spark):
     pq = [10 / 12 / 3, 9 / 11, 0.0]
     assert abs(got["All"].pq - sum(pq) / 3) < 1e-12 and abs(got["All"].rq - (1 / 3 + 1) / 3) < 1e-12 and got["All"].n == 3
     assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") <= 3
+
+
+def test_nearest_points_of_uneven_rings(spark):
+    """Squared distances of a batch's rings side by side: uneven sizes, empty and null ones."""
+    from tessella.functions.rings import nearest_squared
+
+    some = [[(0.0, 0.0), (3.0, 4.0)], [(1.0, 1.0)], [], None, [(5.0, 5.0), (2.0, 0.0), (0.5, 9.0)]]
+    rows = [(10 * i + j, a, b) for i, a in enumerate(some) for j, b in enumerate(some)]
+    df = spark.createDataFrame(rows, "id int, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>").repartition(2)
+    got = {r.id: r.d for r in df.select("id", nearest_squared("a", "b").alias("d")).collect()}
+    assert got == {i: None if a is None else [min(((x - u) ** 2 + (y - v) ** 2 for u, v in b or []), default=None) for x, y in a] for i, a, b in rows}
+
+
+def test_meters_hold_no_more_than_a_slice(spark, tmp_path):
+    """Updates arrive in several micro-batches and in any order within one; a task's frames have a bounded number of rows."""
+    from tessella.plans.queries_logs import written_in_order
+    from tessella.streaming import meters
+
+    rows = [(f"m{i % 3}", i, (i * 37 % 101) / 8) for i in range(500)]
+    df = spark.createDataFrame(rows, "metric string, step long, value double").repartition(7)
+    assert written_in_order(df, "step", f"{tmp_path}/in", 90) == 6
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = {(r.metric, r.step): r for r in meters.drain(meters.running_meters(stream), spark, str(tmp_path)).collect()}
+    assert len(got) == 500
+    for m in range(3):
+        seen = []
+        for metric, step, value in (r for r in rows if r[0] == f"m{m}"):
+            seen.append(value)
+            last, r = seen[-20:], got[metric, step]
+            assert (r["median"], r["max"], r["last"]) == (sorted(last)[(len(last) - 1) // 2], max(last), value)
+            assert abs(r["mean"] - sum(last) / len(last)) < 1e-12 and abs(r["global_mean"] - sum(seen) / len(seen)) < 1e-12

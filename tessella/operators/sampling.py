@@ -68,8 +68,9 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
 def key_differences(found: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """(key, side): 'missing' for wanted keys that aren't found, 'unexpected' for the others."""
-    f, w = found.select(key).distinct(), wanted.select(key).distinct()
-    return w.join(f, key, "left_anti").withColumn("side", F.lit("missing")).unionByName(f.join(w, key, "left_anti").withColumn("side", F.lit("unexpected")))
+    f, w = found.select(key), wanted.select(key)
+    only = lambda a, b, side: a.join(b, key, "left_anti").distinct().withColumn("side", F.lit(side))  # noqa: E731  what is left is fewer
+    return only(w, f, "missing").unionByName(only(f, w, "unexpected"))
 
 
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:

@@ -213,3 +213,13 @@ def test_meters_hold_no_more_than_a_slice(spark, tmp_path):
             last, r = seen[-20:], got[metric, step]
             assert (r["median"], r["max"], r["last"]) == (sorted(last)[(len(last) - 1) // 2], max(last), value)
             assert abs(r["mean"] - sum(last) / len(last)) < 1e-12 and abs(r["global_mean"] - sum(seen) / len(seen)) < 1e-12
+
+
+def test_key_differences_group_only_what_differs(spark):
+    """Keys aren't made distinct before the joins: no task holds the sets themselves."""
+    from tessella.operators.sampling import key_differences
+
+    found, wanted = (spark.createDataFrame([(k,) for k in keys], "k int") for keys in ([1, 1, 2, 5, 5], [2, 3, 3, 4]))
+    d = key_differences(found, wanted, "k")
+    assert sorted(map(tuple, d.collect())) == [(1, "unexpected"), (3, "missing"), (4, "missing"), (5, "unexpected")]
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2

@@ -68,28 +68,39 @@ def anchors(templates=TEMPLATES, least: float = 0.8) -> list[tuple[str, int, int
     return out
 
 
-def scan_windows(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
-    """(doc_id, license, n_windows, dice): notices anywhere in a text, also within a line or across lines.
+def _joined(words: Column) -> Column:
+    """Bigrams of words in order, repeats included."""
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda x, y: F.concat_ws(" ", x, y))
+
+
+def keyed_texts(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
+    """(doc_id, text, w, own_keys): rows of ``docs`` that hold a key bigram of a template, with their words and keys, stored.
+
+    A part of a text is parted from the rest by a character that is no part of a word, so bigrams of a line or paragraph are
+    bigrams of the whole text: no other row has a unit or a window that could match.
+    """
+    keys = F.lit(sorted({k for r in template_rows(templates, least) for k in r[3]}))
+    texts = docs.select("doc_id", "text", F.split(_normal(F.col("text")), " ").alias("w")).where(F.size("w") > 1)
+    return materialize(texts.withColumn("own_keys", F.array_intersect(_joined(F.col("w")), keys)).where(F.size("own_keys") > 0))
+
+
+def scan_windows(texts: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
+    """(doc_id, license, n_windows, dice): notices anywhere in ``keyed_texts``, also within a line or across lines.
 
     Every key bigram of a template in the whole text puts a window of the template's length where the template would lie.
     Windows with Dice >= ``least`` that overlap are one place, and the best of them (then the first licence by name) names
-    it. Only documents that hold a key are taken apart by position.
+    it.
     """
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     rows = template_rows(templates, least)
     index = spark.createDataFrame(anchors(templates, least), "key string, template int, place int, words int")
     index = index.join(spark.createDataFrame([r[:3] for r in rows], "template int, license string, grams array<string>"), "template")
-    keys = F.lit(sorted({k for r in rows for k in r[3]}))
-    joined = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda x, y: F.concat_ws(" ", x, y))
-    texts = docs.select("doc_id", F.split(_normal(F.col("text")), " ").alias("w")).where(F.size("w") > 1)
-    # stored, as the keys would else be looked for again at every word
-    texts = materialize(texts.withColumn("own_keys", F.array_intersect(joined(F.col("w")), keys)).where(F.size("own_keys") > 0))
-    hits = F.filter(F.transform(joined(F.col("w")), lambda g, i: F.struct(g.alias("key"), i.alias("at"))), lambda h: F.array_contains("own_keys", h["key"]))
+    hits = F.filter(F.transform(_joined(F.col("w")), lambda g, i: F.struct(g.alias("key"), i.alias("at"))), lambda h: F.array_contains("own_keys", h["key"]))
     hits = texts.select("doc_id", "w", F.explode(hits).alias("h")).join(F.broadcast(index), F.col("h.key") == F.col("key"))
     lo = F.greatest(F.col("h.at") - F.col("place"), F.lit(0))
     hi = F.least(F.col("h.at") - F.col("place") + F.col("words"), F.size("w"))
     windows = hits.select("doc_id", "license", "grams", lo.alias("lo"), hi.alias("hi"), F.slice("w", lo + 1, hi - lo).alias("part"))
-    windows = windows.withColumn("own", F.array_distinct(joined(F.col("part"))))
+    windows = windows.withColumn("own", F.array_distinct(_joined(F.col("part"))))
     dice = 2.0 * F.size(F.array_intersect("own", "grams")) / (F.size("own") + F.size("grams"))
     good = windows.select("doc_id", "license", "lo", "hi", F.round(dice, 6).alias("dice")).where(F.col("dice") >= least).distinct()
     by = Window.partitionBy("doc_id").orderBy("lo", "hi", "license", "dice")
@@ -106,15 +117,17 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> D
 
     A unit counts for its best template only (ties: the first licence by name), ``n_units`` counts them. The templates are a fixed small table, broadcast; candidates need a template within the size bounds
     that Dice allows and one of its key bigrams. Null or empty texts, and units of under two words, match nothing.
-    Repeated rows of one doc_id count once for each place in the text.
+    Repeated rows of one doc_id count once for each place in the text. Whole texts are normalised once; only those with a
+    key bigram are cut into units and windows.
     """
     spark = docs.sparkSession
+    texts = keyed_texts(docs, templates, least)
     rows = template_rows(templates, least)
     table = spark.createDataFrame(rows, "template int, license string, grams array<string>, keys array<string>")
     index = table.select(F.explode("keys").alias("key"), "license", "grams", F.size("grams").alias("n_grams"))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("unit")))
     blocks = F.transform(F.split("text", r"\n[\x20\x09-\x0D]*\n"), lambda x, i: F.struct((-1 - i).alias("at"), x.alias("unit")))
-    units = docs.select("doc_id", F.explode(F.concat(lines, F.filter(blocks, lambda b: F.contains(b["unit"], F.lit("\n"))))).alias("u"))
+    units = texts.select("doc_id", F.explode(F.concat(lines, F.filter(blocks, lambda b: F.contains(b["unit"], F.lit("\n"))))).alias("u"))
     most = max(len(r[2]) for r in rows) * (2 - least) / least + 1
     # each bigram takes at least three characters with its spaces, or the unit repeats itself
     grams = units.select("doc_id", F.col("u.at").alias("at"), _normal(F.col("u.unit")).alias("normal")).select("doc_id", "at", _bigrams(F.col("normal")).alias("own"))
@@ -127,7 +140,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> D
     scored = pairs.select("doc_id", "at", "license", F.round(dice, 6).alias("dice")).where(F.col("dice") >= least)
     best = scored.groupBy("doc_id", "at").agg(F.min(F.struct((-F.col("dice")).alias("less"), F.col("license"))).alias("b"))
     by_unit = best.groupBy("doc_id", F.col("b.license").alias("license")).agg(F.count("*").alias("n_units"), F.max(-F.col("b.less")).alias("dice"))
-    by_window = scan_windows(docs, templates, least)
+    by_window = scan_windows(texts, templates, least)
     rows = by_unit.withColumns({"n_windows": F.lit(0).cast("long")}).unionByName(by_window.select("doc_id", "license", F.lit(0).cast("long").alias("n_units"), F.col("window_dice").alias("dice"), "n_windows"))
     return rows.groupBy("doc_id", "license").agg(F.sum("n_units").alias("n_units"), F.sum("n_windows").alias("n_windows"), F.max("dice").alias("dice"))
 

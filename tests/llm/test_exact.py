@@ -334,6 +334,16 @@ def test_licenses_within_and_across_lines(spark):
     assert got == {(1, "MIT"): (0, 1), (2, "CC-BY-4.0"): (0, 1), (3, "MIT"): (1, 2), (4, "CC-BY-4.0"): (0, 1)}
 
 
+def test_licenses_cut_only_texts_with_a_key(spark):
+    """Units are cut from the stored rows with a key alone; breaks of any kind part words, so a unit's bigrams are the text's."""
+    mit = "Released under the MIT License."
+    rows = [(1, "no notice here\nnone here either"), (2, f"\u0130\u03a3\n{mit}\n \t\n\u00e9"), (3, None), (4, ""), (5, f"x\r\n\n{mit}"), (6, "released\nunder\nthe MIT\n\nlicense"), (7, "mit")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = licenses.keyed_texts(df)
+    assert {r.doc_id for r in kept.collect()} == {2, 5, 6} and set(kept.columns) == {"doc_id", "text", "w", "own_keys"}
+    assert {(r.doc_id, r.n_units, r.n_windows) for r in licenses.scan_licenses(df).collect()} == {(2, 2, 1), (5, 1, 1), (6, 1, 1)}
+
+
 def test_license_keys_cover_every_match():
     for _, _, grams, keys in licenses.template_rows():
         must = math.ceil(round(0.8 / 1.2 * len(grams), 9))

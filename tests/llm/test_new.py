@@ -234,6 +234,21 @@ def test_network_learns_labelled_findings(spark):
     assert sum(right) >= 0.9 * len(right) and sum(wrong) <= 0.06 * len(wrong)
 
 
+def test_every_labelled_window_is_learnt_from(spark, monkeypatch):
+    """More windows than one piece holds: each is in one piece, and the mean of the pieces' networks tells the classes apart."""
+    monkeypatch.setattr(secret_scan, "PIECE", 1500)
+    rows = [(y, w) for text, a, b, y in planted(7000) for w in secret_scan.windows(text, a, b)]
+    df = spark.createDataFrame([*rows, *rows[:99], (0, rows[0][1])], "label int, win binary")
+    pieces, counts = secret_scan.pieces_of(df)
+    stored = [(bool(r.held), r.piece, bytes(r.wins[i * secret_scan.WIDTH : (i + 1) * secret_scan.WIDTH]), y) for r in pieces.collect() for i, y in enumerate(r.labels)]
+    assert sorted((y, w) for _, _, w, y in stored) == sorted(set(rows)) and sum(counts.values()) == len(stored) > 6000
+    assert len({p for _, p, _, _ in stored}) == 5 and 0.2 < sum(h for h, _, _, _ in stored) / len(stored) < 0.3
+    scorer = secret_scan.fit(df)
+    x = np.frombuffer(b"".join(w for h, _, w, _ in stored if h), dtype=np.uint8).reshape(-1, secret_scan.WIDTH)
+    y, hit = np.array([y for h, _, _, y in stored if h]), scorer.chances(x) >= scorer.threshold
+    assert hit[y == 1].mean() >= 0.95 and hit[y == 0].mean() <= 0.06
+
+
 def test_network_against_plain_loops():
     """Forward pass by loops; gradients by finite differences."""
     rng = np.random.default_rng(0)

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessella.operators.batches import whole_groups
 from tessella.operators.joins import box_pairs
 from tessella.operators.selection import ranked_value
 
 #: Least IoU of boxes that overlap.
 OVERLAP = 1e-12
+#: Candidates of an image whose segments are dealt within a task.
+PIXELS = 1 << 18
 
 
 def avg_objects_per_image(images: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -98,18 +107,76 @@ def panoptic_quality(overlaps: DataFrame, things: DataFrame | None = None) -> Da
 
 def segment_areas(pixels: DataFrame, least: int = 4) -> DataFrame:
     """(image_id, segment_id, area) by the best segment of each pixel; segments of area <= ``least`` are taken out and
-    pixels dealt again until none is left. ``pixels``: image_id, px, py, segment_id, logit (one row a candidate), merged
-    stuff segments having one id. Each round takes out at least one segment, and the loop ends when none went."""
+    pixels dealt again until none is left. ``pixels``: image_id, px, py, segment_id, logit (rows that are candidates, repeats do no
+    harm), merged stuff segments having one id. Each round takes out at least one segment, and the loop ends when none went.
+
+    Images are solved side by side on a task's batches, with one exchange of ``pixels`` by image; those with more than PIXELS
+    rows pass through and are solved by rounds over tables.
+    """
+    from tessella.sources.shared import materialize
+
+    columns = ["image_id", "px", "py", "segment_id", "logit"]
+    held = pixels.select(*columns).withColumn("_rows", F.count("*").over(Window.partitionBy("image_id")))
+    schema = T.StructType([held.schema[c] for c in columns] + [T.StructField("area", T.LongType())])
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
+    most = PIXELS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            large = pc.or_(pc.greater(batch.column(5), most), pc.is_null(batch.column(0)))
+            batch = batch.select(range(5))
+            crowd = batch.filter(large)
+            if crowd.num_rows:
+                yield pa.RecordBatch.from_arrays([*crowd.columns, pa.nulls(crowd.num_rows, pa.int64())], names=schema.names)
+            groups = list(whole_groups(iter([*rest, batch.filter(pc.invert(large))]), 0))
+            rest = groups[-1:]  # the last image may go on
+            yield from (areas_of(rows, least) for rows in groups[:-1])
+        yield from (areas_of(rows, least) for rows in rest)
+
+    solved = materialize(held.mapInArrow(run, schema))
+    found = solved.where("area is not null").select("image_id", "segment_id", "area")
+    large = solved.where("area is null").select(*columns)
+    return found if large.isEmpty() else found.unionByName(large_segment_areas(large, least))
+
+
+def areas_of(rows: pa.RecordBatch, least: int) -> pa.RecordBatch:
+    """Areas of the segments of whole images: candidates are sorted by pixel and rank once, and the first that is left counts."""
+    of, px, py, code = (pc.dictionary_encode(rows.column(i), null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+    number, logit = (pc.fill_null(rows.column(i), 0).to_numpy(zero_copy_only=False) for i in (3, 4))
+    unnamed, unknown = (rows.column(i).is_null().to_numpy(zero_copy_only=False) for i in (3, 4))
+    known = ~(unknown | np.isnan(logit))
+    # as Spark sorts: NaN is the greatest logit, null the least; of equal ones the least segment wins, null the last
+    order = np.lexsort((number, unnamed, np.where(known, -logit, 0), unknown.astype(int) * 2 + known, py, px, of))
+    of, px, py, code = (v[order] for v in (of, px, py, code))
+    pixel = np.concatenate([[0], ((of[1:] != of[:-1]) | (px[1:] != px[:-1]) | (py[1:] != py[:-1])).cumsum()])
+    _, at, segment = np.unique(of * (code.max() + 1) + code, return_index=True, return_inverse=True)
+    left = np.arange(len(order))
+    while True:
+        best = left[np.concatenate([[True], pixel[left][1:] != pixel[left][:-1]])] if len(left) else left
+        area = np.bincount(segment[best], minlength=len(at))
+        small = (area > 0) & (area <= least)
+        if not small.any():
+            break
+        left = left[~small[segment[left]]]
+    some = np.flatnonzero(area)
+    ids = rows.select([0, 3]).take(pa.array(order[at[some]]))
+    none = [pa.nulls(len(some), rows.column(i).type) for i in (1, 2, 4)]
+    return pa.RecordBatch.from_arrays([ids.column(0), none[0], none[1], ids.column(1), none[2], pa.array(area[some])], names=[*rows.schema.names, "area"])
+
+
+def large_segment_areas(pixels: DataFrame, least: int) -> DataFrame:
+    """``segment_areas`` of images of any size, by rounds over tables."""
     from tessella.sources.shared import materialize
 
     left = pixels
     while True:
         best = left.groupBy("image_id", "px", "py").agg(F.max_by("segment_id", F.struct("logit", (-F.col("segment_id")).alias("t"))).alias("segment_id"))
         areas = materialize(best.groupBy("image_id", "segment_id").agg(F.count("*").alias("area")))
-        small = areas.where(F.col("area") <= least).select("image_id", "segment_id")
+        small = areas.where(F.col("area") <= least).select(F.col("image_id").alias("_i"), F.col("segment_id").alias("_s"))
         if small.isEmpty():
             return areas
-        left = materialize(left.join(small, ["image_id", "segment_id"], "left_anti"))
+        left = materialize(left.join(small, F.col("image_id").eqNullSafe(F.col("_i")) & F.col("segment_id").eqNullSafe(F.col("_s")), "left_anti"))
 
 
 def mask_to_box(pixels: DataFrame, keys: list[str]) -> DataFrame:

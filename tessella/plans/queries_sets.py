@@ -28,7 +28,7 @@ def _(fx):
 @query("e11_segment_areas")
 def _(fx):
     pixels = fx.label_pixels.select("image_id", (c("px") % 16).alias("px"), (c("py") % 16).alias("py"), c("label").cast("long").alias("segment_id"), F.pmod(F.xxhash64("px", "py", "label"), F.lit(1000)).cast("double").alias("logit"))
-    return A.segment_areas(pixels.groupBy("image_id", "px", "py", "segment_id").agg(F.max("logit").alias("logit")))
+    return A.segment_areas(pixels)
 
 
 @query("e12_mask_to_box", "SELECT image_id, label, min(px) AS x1, min(py) AS y1, max(px) AS x2, max(py) AS y2 FROM fx_label_pixels GROUP BY ALL")

@@ -257,3 +257,22 @@ def test_segment_areas_of_images_side_by_side(spark, monkeypatch, most):
         del stored[:]
         aggregates.segment_areas(df.where("image_id is not null")).collect()
         assert len(stored) == 1
+
+
+def test_preannotations_are_numbered_inside_images(spark):
+    """Ids from 1 by image, falling score and ring, over blocks of images; rows aren't sorted over all images."""
+    from tessella.sources import coco
+
+    rng = random.Random(4)
+    rows = [(f"d/{i:05}.jpg", [(float(rng.randrange(9)), 0.0), (9.0, float(k)), (0.0, 9.0)], rng.choice([None, 0.25, 0.5])) for i in range(5000) for k in range(i % 3)]
+    rows.append((None, rows[0][1], 0.5))
+    df = spark.createDataFrame(rows, "path string, ring array<struct<x:double,y:double>>, score double").repartition(3)
+    images, anns = coco.export_preannotations(df)
+    paths = {p: i + 1 for i, p in enumerate(sorted({r[0] for r in rows[:-1]}))}
+    got = images.collect()
+    assert {r.file_name: r.image_id - 1 for r in got if r.file_name} == {p[2:]: i for p, i in paths.items()} and len(got) == len(paths) + 1
+    flat = lambda ring: "[[" + ",".join(str(v) for p in ring for v in p) + "]]"
+    want = sorted((paths[p] + 1, -(s or 0), flat(ring)) for p, ring, s in rows[:-1])
+    ids = {r.id: (r.image_id, -(r.score or 0), flat(zip(r.segmentation[0][::2], r.segmentation[0][1::2]))) for r in anns.collect()}
+    assert [ids[i + 1] for i in range(len(ids))] == want
+    assert "Window" in plan_of(anns) and "to_json" not in plan_of(anns.groupBy("image_id").agg(F.sum("area")))

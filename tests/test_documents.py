@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import sampling
@@ -70,3 +71,26 @@ def test_stored_sample_stays(spark, tmp_path):
     assert {r.id for r in again.collect()} == first and again.columns == ["id", "x"]
     assert first != {r.id for r in sampling.hash_sample(large, "id", 40).collect()}
     assert sampling.stored_sample(large.where("id >= 400"), "id", 40, path).count() < 40
+
+
+@pytest.mark.parametrize(("shards", "lists"), [(1, "ia"), (3, "ia"), (3, "i"), (1, "a"), (2, "")])
+def test_large_document_in_parts(spark, tmp_path, shards, lists):
+    """A document over ``rows`` objects is written by many tasks; its files one after another are the JSON, also with empty lists."""
+    ids = list(range(400))
+    ring = [[0.0, 0.0, 4.0, 0.0, 4.0, 4.0]]
+    images = spark.createDataFrame([(i, f"{{{i}}}\"}}.jpg", 10, 10) for i in ids], "id long, file_name string, width int, height int").where(F.lit("i" in lists))
+    anns = spark.createDataFrame([(i * 10 + k, i, ring, float(k)) for i in ids for k in range(3)], "id long, image_id long, segmentation array<array<double>>, area double").where(F.lit("a" in lists))
+    cats = spark.createDataFrame([(1, "x", "y")] if lists else [], "id int, name string, supercategory string")
+    path = str(tmp_path / "d")
+    coco.write_coco(images, anns, cats, path, rows=20, shards=shards)
+    found = []
+    for folder in sorted((tmp_path / "d").glob("shard=*")):
+        files = sorted(folder.rglob("*.txt"), key=lambda f: (int(f.parent.name[5:]) if "part=" in f.parent.name else 0, f.name))
+        found.append(json.loads("".join(f.read_text() for f in files)))
+        assert len(files) == len({f.parent for f in files}) and (lists != "ia" or max(f.read_text().count('"id":') for f in files) <= 80 and len(files) > 20)
+    assert len(found) == shards
+    for name, want in (("images", ids if "i" in lists else []), ("annotations", [i * 10 + k for i in ids for k in range(3)] if lists == "ia" else []), ("categories", [1] * shards if lists else [])):
+        assert sorted(r["id"] for d in found for r in d[name]) == want
+    got = coco.read_large_coco(spark, path)
+    assert [t.count() for t in got] == [sum(len(d[n]) for d in found) for n in ("images", "annotations", "categories")]
+    assert {r.file_name for r in got[0].collect()} == {r["file_name"] for d in found for r in d["images"]}

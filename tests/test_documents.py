@@ -94,3 +94,42 @@ def test_large_document_in_parts(spark, tmp_path, shards, lists):
     got = coco.read_large_coco(spark, path)
     assert [t.count() for t in got] == [sum(len(d[n]) for d in found) for n in ("images", "annotations", "categories")]
     assert {r.file_name for r in got[0].collect()} == {r["file_name"] for d in found for r in d["images"]}
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_annotations_meet_their_image(spark, tmp_path, compression):
+    """An annotation is in its image's document, whatever integer type names it, or in none; compressed documents read the same."""
+    images = spark.range(60).select("id", F.format_string("%d.jpg", "id").alias("file_name"), F.lit(9).alias("width"), F.lit(8).alias("height"))
+    ring = F.array(F.array(*[F.lit(float(x)) for x in (0, 0, 4, 0, 4, 4)]))
+    to = F.when(F.col("id") % 9 > 0, (F.col("id") % 70).cast("int"))
+    anns = spark.range(400).select("id", to.alias("image_id"), ring.alias("segmentation"))
+    cats = spark.createDataFrame([(1, "house", "x")], "id int, name string, supercategory string")
+    path = str(tmp_path / "d")
+    coco.write_coco(images, anns, cats, path, rows=60, **({} if compression == "none" else {"compression": compression}))
+    want = [i for i in range(400) if i % 9 and i % 70 < 60]
+    for read in (coco.read_coco, coco.read_large_coco):
+        i, a, c = (t.collect() for t in read(spark, path))
+        assert sorted(r.id for r in i) == list(range(60)) and sorted(r.id for r in a) == want
+        assert {(r.document, r.image_id) for r in a} <= {(r.document, r.id) for r in i}
+        assert len(c) == len({r.document for r in i}) == 8
+    assert {f.suffix for f in (tmp_path / "d").glob("shard=*/part-*")} == {".txt" if compression == "none" else ".gz"}
+
+
+def test_round_trip_moves_little(spark, sf_dir, monkeypatch):
+    """The objects are made once, and what is written of the documents is a fraction of their text."""
+    from tessella.plans import registry
+
+    seen, write = [], coco.write_coco
+
+    def spy(images, annotations, categories, path, **how):
+        seen.append((path, [t._jdf.queryExecution().optimizedPlan().toString() for t in (annotations, categories)]))
+        write(images, annotations, categories, path, **how)
+
+    monkeypatch.setattr(coco, "write_coco", spy)
+    assert registry.QUERIES["a1_a2_coco_round_trip"](spark, sf_dir).count() > 0
+    ((path, plans),) = seen
+    assert not any("Join" in p or "lineitem" in p for p in plans)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stored = fs.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(fs).getLength()
+    text = spark.read.text(path).agg(F.sum(F.length("value") + 1)).first()[0]
+    assert 3 * stored < text

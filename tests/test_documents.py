@@ -133,3 +133,19 @@ def test_round_trip_moves_little(spark, sf_dir, monkeypatch):
     stored = fs.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(fs).getLength()
     text = spark.read.text(path).agg(F.sum(F.length("value") + 1)).first()[0]
     assert 3 * stored < text
+
+
+def test_compressed_parts(spark, tmp_path):
+    """The compressed files of a document in parts are, one after another, the compressed document."""
+    import gzip
+
+    ring = [[0.0, 0.0, 4.0, 0.0, 4.0, 4.0]]
+    images = spark.createDataFrame([(i, f"{{{i}}}\"}}.jpg", 10, 10) for i in range(90)], "id long, file_name string, width int, height int")
+    anns = spark.createDataFrame([(i, i % 100, ring) for i in range(400)], "id long, image_id long, segmentation array<array<double>>")
+    cats = spark.createDataFrame([(1, "x", "y")], "id int, name string, supercategory string")
+    coco.write_coco(images, anns, cats, str(tmp_path / "d"), rows=50, shards=1, compression="gzip")
+    files = sorted((tmp_path / "d").rglob("*.gz"), key=lambda f: int(f.parent.name[5:]))
+    document = json.loads(gzip.decompress(b"".join(f.read_bytes() for f in files)))
+    want = [list(range(90)), [i for i in range(400) if i % 100 < 90], [1]]
+    assert len(files) > 10 and [sorted(r["id"] for r in document[k]) for k in coco.PARTS] == want
+    assert [sorted(r.id for r in t.collect()) for t in coco.read_large_coco(spark, str(tmp_path / "d"))] == want

@@ -268,6 +268,33 @@ def test_words_without_a_fitted_place_count(paraphrases, monkeypatch):
     assert not got - want["whole"] - want["sixth"] - want["rare"]
 
 
+@pytest.mark.parametrize("paired", [0, 1 << 12])
+def test_space_is_fitted_on_every_passage(leaks, monkeypatch, paired):
+    """Its directions hold as much of the passages of all documents and items as any do, however many there are."""
+    import numpy as np
+
+    docs, benchmark, _ = leaks
+    monkeypatch.setattr(decontaminate, "FIT_DOCS", 5, raising=False)
+    monkeypatch.setattr(decontaminate, "PAIRED", paired, raising=False)
+    space = decontaminate.build_space(docs, benchmark, rank=4)
+    place = {int(h): i for i, h in enumerate(space.terms)}
+    coded = lambda text: [place.get(int(h), -1) for h in decontaminate.item_words([text])[0]]
+    passages = lambda words: [words[i : i + 32] for i in range(0, len(words), 32)]
+    texts, items = ([r.text for r in t.collect()] for t in (docs, benchmark))
+    own = [c for t in items if (c := coded(t))]
+    gram = np.zeros((len(place), len(place)))
+    for times, rows in ((1, [p for t in texts for p in passages(coded(t))]), (len(texts) / len(own), own)):
+        for some in rows:
+            v = np.bincount([x for x in some if x >= 0], minlength=len(place)) * space.idf
+            gram += times * np.outer(v, v) / max(v @ v, 1e-12)
+    basis = space.vectors[space.row[:-1]] / space.idf[:, None]
+    assert np.allclose(basis.T @ basis, np.eye(4), atol=1e-4)
+    one = np.random.default_rng(3)
+    q, _ = np.linalg.qr(gram @ one.standard_normal((len(place), 20)))
+    reach = np.sort(np.linalg.eigvalsh(q.T @ gram @ q))[-4:].sum()
+    assert np.trace(basis.T @ gram @ basis) >= 0.93 * reach
+
+
 def test_latent_search_against_brute_force(spark):
     """Items of the benchmark table in its documents, whole, with every sixth word replaced, or without their rarest third
     (words of other items stand for them): the cosine search finds nine tenths of what the checks confirm when they look

@@ -168,6 +168,50 @@ def test_long_texts_teach_and_are_scored(spark):
     assert {(r.doc_id % 2 == 1) == (r.score >= 0.5) for r in toxicity.score_toxicity(docs, model).collect()} == {True}
 
 
+def test_every_labelled_row_teaches(spark, monkeypatch):
+    """The lexicon's weights and the known words are counts over all labelled texts, without near copies."""
+    import math
+
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", {0: 40, 1: 20}, raising=False)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("aeilnorst") for _ in range(rng.randint(5, 9)))
+    rows = [(i, int(i % 5 == 0), " ".join([word() for _ in range(40)] + ["fozzle"] * (i % 5 == 0) + ["grunkit"] * (i % 25 == 0) + ["kettle"] * (i in (1, 2, 3, 4)))) for i in range(600)]
+    rows += [(600 + i, 1, "blarpish " + rows[0][2]) for i in range(60)]  # near copies of one toxic text
+    docs, labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, y, _ in rows], "doc_id long, toxic int")
+    known, lexicon = toxicity.fit(docs, labels, "toxic", F.lit(True))[2:4]
+    part = F.pmod(F.xxhash64(F.lit("part"), "text"), F.lit(4))
+    taught = {r.doc_id for r in docs.where(part > 0).collect()}
+    own = [(y, t.split()) for i, y, t in rows[:600] if i in taught]
+    group = int(any(i in taught and (i == 0 or i >= 600) for i, _, _ in rows)) - int(0 in taught)  # one of the copies, if not the first itself
+    n_toxic, n_clean = sum(y for y, _ in own) + group, sum(1 - y for y, _ in own)
+    for w, more in (("fozzle", group), ("grunkit", group)):
+        t = sum(w in x for y, x in own if y) + more
+        assert abs(lexicon[w] - (math.log((t + 0.5) / (n_toxic + 1)) - math.log(0.5 / (n_clean + 1)))) < 1e-9
+    assert "blarpish" not in lexicon and ("kettle" in known) == (len(taught & {1, 2, 3, 4}) > 1)
+
+
+def test_near_copies_by_tables(spark, monkeypatch):
+    """Rounds over tables leave what one text after another does, and the first of an id's rows."""
+    rng = random.Random(6)
+    base = [["w" + "".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)] for _ in range(12)]
+    texts = []
+    for i in range(300):
+        words = list(base[rng.randrange(12)])
+        for _ in range(rng.randrange(14)):
+            words[rng.randrange(30)] = "".join(rng.choice("abcdefgh") for _ in range(6))
+        texts.append((i // 2 if i < 40 else i, i % 2, " ".join(words)))
+    texts += [(400, 0, "1 2 3"), (401, 1, "1 2 3"), (402, 0, ""), (403, 0, "")]
+    rows = toxicity.word_rows(spark.createDataFrame(texts, "doc_id long, label int, text string"))
+    seen, ids, want = set(), set(), []
+    for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.same, r.n)):
+        if r.doc_id not in ids and not ids.add(r.doc_id) and not seen.intersection(r["keys"]):
+            seen.update(r["keys"])
+            want.append(r.n)
+    assert 20 < len(want) < 280 and {r.n for r in toxicity.without_copies(rows).collect()} == set(want)
+    monkeypatch.setattr(toxicity, "ON_DRIVER", 0)
+    assert {r.n for r in toxicity.without_copies(rows).collect()} == set(want)
+
+
 def test_drop_toxic_keeps_columns(spark, labelled):
     docs, labels = labelled
     wide = docs.withColumn("score", F.lit(9)).withColumn("row", F.lit(1))

@@ -276,3 +276,29 @@ def test_preannotations_are_numbered_inside_images(spark):
     ids = {r.id: (r.image_id, -(r.score or 0), flat(zip(r.segmentation[0][::2], r.segmentation[0][1::2]))) for r in anns.collect()}
     assert [ids[i + 1] for i in range(len(ids))] == want
     assert "Window" in plan_of(anns) and "to_json" not in plan_of(anns.groupBy("image_id").agg(F.sum("area")))
+
+
+def test_crops_exchange_flat_rings(spark, monkeypatch):
+    """What is numbered, and so exchanged and stored, is a row of numbers; rings, boxes and areas are made after it."""
+    from tessella.operators.etl import crop_annotations, tile_images
+
+    sent = []
+    number = etl.dense_ids
+    monkeypatch.setattr(etl, "dense_ids", lambda df, *a, **k: sent.append(df.dtypes) or number(df, *a, **k))
+    images = spark.createDataFrame([(1, "a.jpg", 500, 400), (2, "b.jpg", 90, 90)], "image_id long, file_name string, width int, height int")
+    rows = [(1, 1, [(10.0, 20.0), (200.0, 30.0), (120.0, 150.0)]), (2, 1, [(300.0, 300.0), (480.0, 310.0), (470.0, 390.0), (305.0, 380.0)]), (3, 2, [(0.0, 0.0), (89.0, 1.0), (50.0, 80.0)])]
+    annotations = spark.createDataFrame(rows, "ann_id long, image_id long, ring array<struct<x double, y double>>")
+    tiles = tile_images(images)
+    want = []
+    for t in sorted(tiles.collect(), key=lambda t: t.tile):
+        for i, image, ring in rows:
+            clamp = lambda v, o: min(max(v * 2.5 - o, 0.0), 319.0)
+            over = lambda k, o: max(p[k] for p in ring) * 2.5 > o and min(p[k] for p in ring) * 2.5 < o + 320
+            cut = [(clamp(x, t.tx0), clamp(y, t.ty0)) for x, y in ring]
+            xs, ys = [p[0] for p in cut], [p[1] for p in cut]
+            w, h = max(xs) - min(xs), max(ys) - min(ys)
+            if image == t.image_id and over(0, t.tx0) and over(1, t.ty0) and w * h >= 16:
+                want.append((t.tile, i, cut, (min(xs), min(ys), w, h), w * h))
+    got = [(r.tile, r.ann_id, [tuple(p) for p in r.ring], tuple(r.bbox), r.area) for r in crop_annotations(tiles, annotations).orderBy("new_id").collect()]
+    assert got == want and len(want) > 8
+    assert sent == [[("tile", "string"), ("ann_id", "bigint"), ("flat", "array<double>"), ("tx0", "int"), ("ty0", "int")]]
